@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, simhash
+from . import mixing, pii, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda s, d: pii.op1_pii(table(s, d, "documents")),
     "op2_simhash": lambda s, d: simhash.op2_simhash(table(s, d, "documents")),
+    "op3_mixing": lambda s, d: mixing.op3_mixing(table(s, d, "documents")),
 }
 ORACLES: dict[str, str] = {}
