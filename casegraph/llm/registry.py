@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, simhash
+from . import decontam, linedup, mixing, pii, quality, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda s, d: pii.op1_pii(table(s, d, "documents")),
     "op2_simhash": lambda s, d: simhash.op2_simhash(table(s, d, "documents")),
     "op3_mixing": lambda s, d: mixing.op3_mixing(table(s, d, "documents")),
+    "op7_quality": lambda s, d: quality.quality_scores(table(s, d, "documents"), table(s, d, "labels")),
+    "op8_decontamination": lambda s, d: decontam.op8_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op9_line_dedup": lambda s, d: linedup.op9_line_dedup(table(s, d, "documents")),
+}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": decontam.SQL,
 }
-ORACLES: dict[str, str] = {}
