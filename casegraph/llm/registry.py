@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, licenses, linedup, mixing, pii, quality, simhash, warc
+from . import decontam, embeddings, licenses, linedup, mixing, pii, quality, simhash, suffixes, warc
 from .common import table
 
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda s, d: pii.op1_pii(table(s, d, "documents")),
     "op2_simhash": lambda s, d: simhash.op2_simhash(table(s, d, "documents")),
     "op3_mixing": lambda s, d: mixing.op3_mixing(table(s, d, "documents")),
+    "op4_suffix_dedup": lambda s, d: suffixes.op4_suffix_dedup(table(s, d, "documents")),
     "op5_embedding_dedup": lambda s, d: embeddings.op5_embedding_dedup(table(s, d, "embeddings")),
     "op6_license_scan": lambda s, d: licenses.op6_license_scan(table(s, d, "documents")),
     "op7_quality": lambda s, d: quality.quality_scores(table(s, d, "documents"), table(s, d, "labels")),
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": _pipeline,
 }
 ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": lambda s, d: suffixes.op4_suffix_dedup(table(s, d, "documents")),
     "op5_embedding_dedup": lambda s, d: embeddings.op5_embedding_dedup(table(s, d, "embeddings")),
     "op6_license_scan": licenses.SQL,
     "op8_decontamination": decontam.SQL,
