@@ -136,7 +136,7 @@ def _cell_links(distance: int):
             if not b.num_rows:
                 continue
             cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype("<i8").view("<u8")]
-            if held and held[0][-1][0] == cols[0][-1]:
+            if held and held[0][0][0] == cols[0][-1]:
                 held.append(tuple(cols))
                 continue
             if held:
