@@ -67,9 +67,8 @@ def _normal(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("licence"), F.lit("license"))
 
 
-def _has_telling(text: Column) -> Column:
-    # one expression: a long disjunction would be repeated for every use of its operand
-    return F.regexp_like(text, F.lit(r"(?<![\p{L}\p{N}])(?:" + "|".join(telling()) + r")(?![\p{L}\p{N}])"))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def license_matches(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -82,13 +81,12 @@ def license_matches(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     """
     if threshold < THRESHOLD:
         raise ValueError("the tell-tale words are chosen for the usual threshold")
-    docs = documents.select("doc_id", text_hash().alias("h"), _normal(F.col("text")).alias("t")).where(F.col("t").isNotNull() & _has_telling(F.col("t")))
-    part = lambda kind, parts, keep: F.filter(F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("passage"), x.alias("x"))), keep)
-    lines = part("line", F.split("t", "\n", -1), lambda p: _has_telling(p["x"]))
-    blocks = part("block", F.split("t", r"\n[ \t\r]*\n", -1), lambda p: F.contains(p["x"], F.lit("\n")) & _has_telling(p["x"]))
-    passages = docs.select("doc_id", "h", F.explode(F.concat(lines, blocks)).alias("p")).select("doc_id", "h", "p.*")
-    w = F.filter(F.split("x", r"[^\p{L}\p{N}]+"), lambda s: s != "")
-    passages = passages.select("doc_id", "h", "kind", "passage", w.alias("w")).where("size(w) > 1")
+    docs = documents.where("text IS NOT NULL").select("doc_id", text_hash().alias("h"), _normal(F.col("text")).alias("t"))
+    tell = F.array(*map(F.lit, telling()))
+    # words, the test and the explode in one expression: a filter on a column would compute the words again
+    part = lambda kind, parts: F.filter(F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("passage"), _words(x).alias("w"))), lambda p: F.arrays_overlap(p["w"], tell))
+    blocks = F.transform(F.split("t", r"\n[ \t\r]*\n", -1), lambda x: F.when(F.contains(x, F.lit("\n")), x).otherwise(""))
+    passages = docs.select("doc_id", "h", F.explode(F.concat(part("line", F.split("t", "\n", -1)), part("block", blocks))).alias("p")).select("doc_id", "h", "p.*").where("size(w) > 1")
     made = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
     sized = passages.select("doc_id", "h", "kind", "passage", made.alias("b")).withColumn("n_bigrams", F.size("b"))
     most = max(len(_bigrams(t)) for _, t in TEMPLATES.values())
