@@ -1,13 +1,12 @@
-"""What the corpus operators share: session settings, cutting lineage, row keys, connected components."""
+"""What the corpus operators share: session settings, row keys; cutting lineage and components come from the graph operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import checkpoint_dir, connected_components, cut  # noqa: F401
+
 #: Arrow batches to Python workers: rows and bytes. Texts differ in length a thousandfold, so the bytes bind.
 ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 #: Rows of a driver-checked table that may be broadcast.
@@ -23,26 +22,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        held = sc.getCheckpointDir()
-        named = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="checkpoint-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing Parquet into the shared folder: it outlives executors, and its size is known to the planner."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,32 +29,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_hash(col: str | Column = "text") -> Column:
     """64 bits of the text; with the id this tells rows apart whose ids repeat."""
     return F.xxhash64(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("\u0000")))
-
-
-def pairs_summary(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x")).first()
-    return row["n"], row["x"] or 0
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, rep): the smallest node that each node of the edges (a, b) can reach.
-
-    Alternating large-star and small-star rounds. Every round aggregates with map-side combine and joins two
-    shuffled sides, so that a hub's edges can be split over tasks; lineage is cut each round. No component is
-    gathered anywhere. Nodes without an edge aren't returned; an edge from a node to itself counts for nothing.
-    """
-    e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = pairs_summary(e)
-    while before[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = pairs_summary(e)
-        if now == before:
-            break
-        before = now
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("rep")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("rep")).union(roots)
