@@ -33,7 +33,6 @@ def assess(entities: DataFrame, edges: DataFrame, risk: DataFrame, case: DataFra
     aggregate; what meets on the driver's side of a rule is its finding.
     """
     say = WORDS[lang]
-    say = {k: v for k, v in say.items()}
     n = lambda c: F.col(c).cast("long")
     at = lambda k: F.try_element_at("attributes", F.lit(k))
     band = F.col("case_risk_band")

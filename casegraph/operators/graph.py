@@ -71,7 +71,7 @@ def upsert_entities(rows: DataFrame) -> DataFrame:
     )
 
 
-def add_edges(edges: DataFrame, own: bool = True) -> DataFrame:
+def add_edges(edges: DataFrame) -> DataFrame:
     """Edges (source_id, rel_type, target_id, confidence, source_reference, ord) without repeats: the first by ord stays.
 
     An aggregate rather than a window: a pair's repeats are reduced before the shuffle.

@@ -392,13 +392,13 @@ def q_identity_merge(s, d):
 
 def _snapshots(s, d):
     ev = table(s, d, "events")
-    half = ev.select((F.col("ts") < F.lit("2024-01-16").cast("timestamp")).alias("early"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("label"), "event_id", F.when(F.col("event_type") == "error", 0.3).otherwise(0.1).alias("risk_score"))
+    half = ev.select((F.col("ts") < F.lit("2024-01-02").cast("timestamp")).alias("early"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("label"), "event_id", F.when(F.col("event_type") == "error", 0.3).otherwise(0.1).alias("risk_score"))
     shot = lambda df: df.groupBy("label").agg(F.max("risk_score").alias("risk_score"), F.max("event_id").alias("ord"))
     return shot(half.where("early")), shot(half)
 
 
 @query("q_monitor_diff", """
-WITH e AS (SELECT 'user-' || user_id AS label, ts, CASE WHEN event_type = 'error' THEN 0.3 ELSE 0.1 END AS r FROM events), a AS (SELECT label, max(r) AS r FROM e WHERE ts < TIMESTAMP '2024-01-16' GROUP BY label), b AS (SELECT label, max(r) AS r FROM e GROUP BY label),
+WITH e AS (SELECT 'user-' || user_id AS label, ts, CASE WHEN event_type = 'error' THEN 0.3 ELSE 0.1 END AS r FROM events), a AS (SELECT label, max(r) AS r FROM e WHERE ts < TIMESTAMP '2024-01-02' GROUP BY label), b AS (SELECT label, max(r) AS r FROM e GROUP BY label),
 j AS (SELECT coalesce(a.label, b.label) AS label, a.r AS "before", b.r AS "after" FROM a FULL JOIN b ON a.label = b.label),
 c AS (SELECT label, CASE WHEN "before" IS NULL THEN 'new' WHEN "after" IS NULL THEN 'removed' WHEN "after" - "before" >= 0.15 - 1e-9 THEN 'risk_raised' END AS change, "before"::DOUBLE AS "before", "after"::DOUBLE AS "after" FROM j) SELECT * FROM c WHERE change IS NOT NULL
 """)
