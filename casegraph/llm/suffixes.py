@@ -13,7 +13,7 @@ a bucket sorts its suffixes by multikey quicksort on the tokens and compares nei
   the run lies at the edge of a repeated passage and its windows are compared one by one, across all buckets, with
   those of one run of each kind that shares its anchor. Their hashes are counted with map-side combine.
 
-Equality is judged by two independent 64-bit hashes. Windows that repeat within a run share the anchor, hence overlap: a run
+Equality of runs is judged by two independent 64-bit hashes, that of windows by 96 bits of two. Windows that repeat within a run share the anchor, hence overlap: a run
 removes one interval.
 """
 
@@ -164,7 +164,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Both hashes of every window of the runs, and whether it needs an answer."""
+        """A hash of 64 and one of 32 bits of every window of the runs, and whether it needs an answer."""
         for b in batches:
             for row, (data, todo) in enumerate(zip(_bytes(b.column(2)), b.column(3).to_pylist())):
                 out = []
@@ -182,7 +182,7 @@ def _windows(length: int):
                 if out:
                     h1, h2, p, w, ask = map(np.concatenate, zip(*out))
                     take = pa.array(np.full(len(w), row))
-                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(p), pa.array(w), pa.array(ask)], ["h1", "h2", "doc_id", "key", "p", "w", "ask"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(p), pa.array(w), pa.array(ask)], ["h1", "h2", "doc_id", "key", "p", "w", "ask"])
 
     return run
 
@@ -238,7 +238,7 @@ def repeated_intervals(documents: DataFrame, length: int = LENGTH, gram: int = G
     found = cut(dealt.mapInArrow(_neighbours, "doc_id long, key long, p long, more int, whole boolean, edge boolean"))
     todo = cut(found.where("edge").groupBy("doc_id", "key").agg(F.collect_set(F.struct("p", "more", "whole")).alias("todo")))
     # rows that repeat id and text count as two: each window of theirs occurs twice
-    windows = cut(_with(docs, todo, "todo", False).mapInArrow(_windows(length), "h1 long, h2 long, doc_id long, key long, p long, w long, ask boolean"))
+    windows = cut(_with(docs, todo, "todo", False).mapInArrow(_windows(length), "h1 long, h2 int, doc_id long, key long, p long, w long, ask boolean"))
     again = cut(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("asked")).where("n > 1 AND asked").select("h1", "h2"))
     edges = windows.where("ask").join(again, ["h1", "h2"], "left_semi").groupBy("doc_id", "key", "p").agg(F.min("w").alias("s"), (F.max("w") + length).alias("e"))
     whole = found.where("whole").select("doc_id", "key", F.col("p").alias("s"), (F.col("p") + F.col("more") + length).alias("e"))
