@@ -68,6 +68,11 @@ def _some(**values: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
+def _computed(df: DataFrame, *columns: Column) -> DataFrame:
+    """df.select(columns), computed once: a projection alone is copied into every lambda that uses it."""
+    return df.select(F.explode(F.array(F.struct(*columns))).alias("__r")).select("__r.*")
+
+
 def extract_entities(records: DataFrame, mappings: list[tuple[str, str]] = (), document_kinds: tuple[str, ...] = ("person", "organization", "account")) -> DataFrame:
     """One row for each entity of a record (batch_no, origin, index, fields): record, pos, kind, label, attributes,
     sources, document, dedup_key.
@@ -78,7 +83,7 @@ def extract_entities(records: DataFrame, mappings: list[tuple[str, str]] = (), d
     record tells entities of document_kinds apart that share a label.
     """
     low = F.map_from_entries(F.transform(F.map_entries("fields"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-    rows = records.select(F.struct("batch_no", "index").alias("record"), F.concat_ws("#", "origin", F.col("index").cast("string")).alias("origin"), "fields", low.alias("low"))
+    rows = _computed(records, F.struct("batch_no", "index").alias("record"), F.concat_ws("#", "origin", F.col("index").cast("string")).alias("origin"), F.col("fields"), low.alias("low"))
     got = lambda *keys: F.coalesce(*(F.try_element_at("low", F.lit(k)) for k in keys))
     empty = F.create_map().cast(MAP)
     # a located feature
@@ -109,7 +114,7 @@ def extract_entities(records: DataFrame, mappings: list[tuple[str, str]] = (), d
     seen = F.transform(found, lambda x: _entity(x["kind"], safe_label(x["kind"], x["raw"]), _some(file_hash=F.when(is_hash(x["raw"]), F.lower(x["raw"])), hash_type=hash_type(x["raw"])), F.col("origin")))
     geo = lon.isNotNull() & lat.isNotNull()
     # two lists instead of one chosen by a condition, so that neither is computed for the other's rows
-    plain = rows.where(~geo).select("record", "origin", "fields", "low", hits.alias("hits"), document.alias("document"), kept.alias("kept"), phash.alias("phash"))
+    plain = _computed(rows.where(~geo), F.col("record"), F.col("origin"), F.col("fields"), hits.alias("hits"), document.alias("document"), kept.alias("kept"), phash.alias("phash"))
     plain = plain.select("record", "origin", F.concat(F.transform("hits", declared).cast(_ENTITY), seen.cast(_ENTITY)).alias("e"))
     located = rows.where(geo).select("record", F.posexplode(feature.cast(_ENTITY)).alias("pos", "x")).select("record", "pos", "x.*")
     out = plain.select("record", "origin", F.posexplode("e").alias("pos", "x")).select("record", "origin", "pos", "x.*")
