@@ -52,9 +52,13 @@ def is_domain(c: Column) -> Column:
     return rlike(c, r"^([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$")
 
 
+#: What every indicator has somewhere: most tokens are left out by this one test.
+_LIKELY = r"@|\.[0-9A-Za-z]|[0-9a-fA-F]{32}|://|www\."
+
+
 def tokens(c: Column) -> Column:
-    """Tokens between white space and , ; | without outer punctuation, empty ones left out."""
-    bare = F.transform(F.split(c, r"[\s,;|]+"), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}.:/@_-]+|[^\p{L}\p{N}.:/@_-]+$", ""))
+    """Tokens between white space and , ; | that may be indicators, without outer punctuation."""
+    bare = F.transform(F.filter(F.split(c, r"[\s,;|]+"), lambda t: rlike(t, _LIKELY)), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}.:/@_-]+|[^\p{L}\p{N}.:/@_-]+$", ""))
     return F.filter(bare, lambda t: t != "")
 
 
@@ -186,7 +190,7 @@ def _mask_token(t: Column) -> Column:
 def redact_patterns(c: Column) -> Column:
     """Tokens that look personal masked, white space kept."""
     parts = F.regexp_extract_all(c, F.lit(r"\s|\S+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda t: F.when(rlike(t, r"^\s$"), t).otherwise(_mask_token(t))), "")
+    return F.array_join(F.transform(parts, lambda t: F.when(rlike(t, "[@0-9]"), _mask_token(t)).otherwise(t)), "")
 
 
 def mask_value(c: Column) -> Column:
