@@ -157,7 +157,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 
 def simhash_components(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, text_hash, fp and component_id (the smallest doc_id reachable over links), one row for each row.
+    """doc_id, text_hash, fp, component_id (the smallest doc_id reachable over links) and rep (the component's smallest
+    fingerprint, which tells components apart where ids are null or repeat), one row for each row.
 
     Null and empty texts have fingerprint 0 and are linked like others; ids may repeat or be null (null only where
     no id of the component is known); columns besides doc_id and text are ignored; an empty table gives no rows.
@@ -171,16 +172,15 @@ def simhash_components(documents: DataFrame, distance: int = DISTANCE) -> DataFr
     reps = connected_components(edges)
     linked = cut(nodes.join(reps, nodes.fp == reps.node, "left").select("fp", "first", F.coalesce("rep", "fp").alias("rep")))
     least = cut(linked.groupBy("rep").agg(F.min("first").alias("component_id")))
-    named = cut(linked.join(least, "rep").select("fp", "component_id"))
-    return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = cut(linked.join(least, "rep").select("fp", "component_id", "rep"))
+    return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "rep")
 
 
-def simhash_survivors(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of documents without near copies of an earlier one: of each component the row with the smallest id
-    stays (null last); of rows that repeat it, id and text, one."""
-    found = cut(simhash_components(documents, distance))
-    keep = found.groupBy("component_id", F.col("doc_id").isNull().alias("lost")).agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count(F.lit(1)).alias("n"))
-    keep = keep.where("NOT lost OR component_id IS NULL").select("k.doc_id", "k.text_hash")
+def survivors(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of documents that stay, by found (doc_id, text_hash, rep): of each component, which rep tells, the row with
+    the smallest id (null last); of rows that repeat it, id and text, one."""
+    found = cut(found.select("doc_id", "text_hash", "rep"))
+    keep = found.groupBy("rep").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
     rows = documents.withColumn("__h", text_hash())
     repeats = cut(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
     once = cut(repeats.join(keep.withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash"}), (F.col("doc_id").eqNullSafe(F.col("k_id"))) & (F.col("text_hash") == F.col("k_hash")), "left"))
@@ -193,6 +193,11 @@ def simhash_survivors(documents: DataFrame, distance: int = DISTANCE) -> DataFra
     return stay.join(doubled, rows.doc_id.eqNullSafe(doubled.g_id) & (rows["__h"] == doubled.g_hash), "left_anti").unionByName(twice).drop("__h")
 
 
+def simhash_survivors(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The rows of documents without near copies of an earlier one, by fingerprints within the distance."""
+    return survivors(documents, simhash_components(documents, distance))
+
+
 def op2_simhash(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of documents."""
     return simhash_components(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

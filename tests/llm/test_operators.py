@@ -172,6 +172,12 @@ def test_simhash_survivors(spark):
     assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 3, 4] and len(got[0]) == 5
 
 
+def test_simhash_survivors_of_unrelated_components(spark):
+    texts = ["no id and words of its own in a row", "another row lacks its id and shares nothing here", "rain fell over hills while trains kept going south", "seven green boats drift slowly past a quiet harbour wall"]
+    df = frame(spark, (None, texts[0], "a"), (None, texts[1], "a"), (None, texts[1], "b"), (3, texts[2], "a"), (3, texts[3], "a"))
+    assert sorted(r["text"] for r in simhash.simhash_survivors(df).collect()) == sorted(texts)
+
+
 # -- op 3 --------------------------------------------------------------------------------------------------
 
 
