@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casegraph.llm import decontam, embeddings, licenses, linedup, mixing, pii, quality, simhash, suffixes, warc
+from casegraph.llm import decontam, embeddings, licenses, linedup, mixing, nearcopies, pii, quality, simhash, suffixes, warc
 from casegraph.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -178,6 +178,39 @@ def test_simhash_survivors_of_unrelated_components(spark):
     assert sorted(r["text"] for r in simhash.simhash_survivors(df).collect()) == sorted(texts)
 
 
+def test_near_copies(spark):
+    """Components against all pairs; SimHash within 3 bits links few of these."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 300))]
+        texts.append(" ".join(words))
+        for share in (0.01, 0.02, 0.03, 0.04):
+            texts.append(" ".join(f"v{rng.randrange(5000)}" if rng.random() < share else w for w in words))
+    texts += ["", " ", "one", "one two three four", "One two  three four"]
+
+    def parts(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [parts(t) for t in texts]
+    up = simhash.Forest()
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b) - 1e-9]
+    for i, j in near:
+        up.join(i, j)
+    df = frame(spark, *((i, t, "a") for i, t in enumerate(texts)))
+    got = sorted(r["doc_id"] for r in nearcopies.near_survivors(df).collect())
+    assert got == sorted({up.root(i) for i in range(len(texts))}) and len(near) > 50
+    fps = [simhash.fingerprint(t.encode()) for t in texts]
+    assert sum((fps[i] ^ fps[j]).bit_count() <= 3 for i, j in near) < len(near) / 2
+
+
+def test_near_copies_of_hard_rows(spark):
+    got = nearcopies.near_survivors(hard(spark)).collect()
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "") > 99) for r in got) == [(0, False), (1, False), (3, False), (3, True), (4, False), (5, False)]
+    assert nearcopies.near_survivors(empty(spark)).count() == 0
+
+
 # -- op 3 --------------------------------------------------------------------------------------------------
 
 
