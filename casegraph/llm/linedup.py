@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
 Lines of at least MIN_WORDS words are hashed; a line that another document holds too makes a pair of the line's
-first document and each later one: a star, so a line in a third of all documents makes one pair for each, never all
-pairs. A pair's line hashes are aligned by patience diff (lines that both documents hold once, longest increasing
-run, then within the gaps), and the aligned blocks that hold a hashed line are deleted from the later document.
+first document and each later one: a star, so a line in a third of all documents makes one pair for each. A pair's
+line hashes are aligned by patience diff (lines that both documents hold once, longest increasing run, then within the
+gaps; a longest common subsequence where a gap has no such line), and the aligned blocks that hold a hashed line are
+deleted from the later document. Hashed lines that stay are paired in further rounds with the next 4, 16, ... earlier
+holders, until each is deleted or has met all of them: so a hashed line goes if any earlier document that holds it aligns it.
 Documents are ordered by id, nulls last, then by a hash of the text; only line hashes are moved to form and align pairs.
 """
 
@@ -12,13 +14,16 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_hash
 
 MIN_WORDS = 5
+#: Cells of a table of common subsequences; larger ones are halved.
+CELLS = 1 << 22
 
 
 def lines(text: Column) -> Column:
@@ -35,6 +40,40 @@ def _long(line: Column, least: int) -> Column:
     return F.regexp_like(line, F.lit(rf"^\s*+(?:\S++\s++){{{least - 1}}}\S"))
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """For each prefix of a the lengths of its longest common subsequence with b's prefixes."""
+    row = np.zeros(len(b) + 1, np.int32)
+    yield row
+    for x in a:
+        row = np.r_[0, np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))].astype(np.int32)
+        yield row
+
+
+def common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence."""
+    if not len(a) or not len(b):
+        return []
+    if len(a) > 1 and len(a) * len(b) > CELLS:
+        mid = len(a) // 2
+        for front in _lengths(a[:mid], b):
+            pass
+        for back in _lengths(a[mid:][::-1], b[::-1]):
+            pass
+        k = int(np.argmax(front + back[::-1]))
+        return common(a[:mid], b[:k]) + [(i + mid, j + k) for i, j in common(a[mid:], b[k:])]
+    table = list(_lengths(a, b))
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions of equal lines, increasing in both. 0 aligns with nothing."""
     out: list[tuple[int, int]] = []
@@ -78,6 +117,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             i, j = x + 1, y + 1
         if run:
             todo.append((i, ahi, j, bhi))
+            continue
+        left = [i for i in range(alo, ahi) if a[i] and a[i] in at_b]
+        right = [j for j in range(blo, bhi) if b[j] and b[j] in at_a]
+        out += [(left[i], right[j]) for i, j in common(np.array([a[i] for i in left], np.int64), np.array([b[j] for j in right], np.int64))]
     return sorted(out)
 
 
@@ -118,12 +161,37 @@ def deletions(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = cut(held.join(firsts, "h").where("d != first").select("first", "d").distinct())
     sides = hashed.select(key.alias("d"), "h", "anchors")
     once = lambda ds: ds.groupBy("d").agg(F.first("h").alias("h"), F.first("anchors").alias("anchors"))
-    used = pairs.select("d").union(pairs.select(F.col("first").alias("d"))).distinct()
-    known = cut(once(sides.join(used, "d", "left_semi")))
-    later = pairs.join(known, "d").select("first", "d", F.col("h").alias("later"), "anchors")
-    both = later.join(known.select(F.col("d").alias("first"), F.col("h").alias("early")), "first")
-    rows = both.select("d.doc_id", "d.text_hash", "early", "later", "anchors")
-    aligned = rows.mapInArrow(_aligned, "doc_id long, text_hash long, runs array<struct<s:int,e:int>>")
+
+    def align(pairs: DataFrame) -> DataFrame:
+        used = pairs.select("d").union(pairs.select(F.col("first").alias("d"))).distinct()
+        known = cut(once(sides.join(used, "d", "left_semi")))
+        later = pairs.join(known, "d").select("first", "d", F.col("h").alias("later"), "anchors")
+        both = later.join(known.select(F.col("d").alias("first"), F.col("h").alias("early")), "first")
+        rows = both.select("d.doc_id", "d.text_hash", "early", "later", "anchors")
+        return cut(rows.mapInArrow(_aligned, "doc_id long, text_hash long, runs array<struct<s:int,e:int>>"))
+
+    def unaligned(docs: DataFrame, aligned: DataFrame) -> DataFrame:
+        """(d, h): hashed lines of which the documents still have an occurrence."""
+        runs = aligned.groupBy(key.alias("d")).agg(F.flatten(F.collect_set("runs")).alias("runs"))
+        open_ = F.filter("anchors", lambda i: ~F.exists(F.coalesce("runs", F.array()), lambda r: (r["s"] <= i) & (i < r["e"])))
+        rows = docs.join(runs, "d", "left").select("d", "h", open_.alias("open"))
+        return rows.select("d", F.explode(F.array_distinct(F.transform("open", lambda i: F.get("h", i)))).alias("h"))
+
+    aligned, tried, met = align(pairs), pairs, 1
+    owners = cut(once(sides.join(pairs.select("d").distinct(), "d", "left_semi")))
+    left = cut(unaligned(owners, aligned).join(firsts.select("h"), "h", "left_semi"))
+    holders = held.join(left.select("h").distinct(), "h", "left_semi").distinct()
+    ranked = cut(holders.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("d"))))
+    step = 4
+    while True:
+        left = cut(left.join(ranked, ["d", "h"]).where(F.col("rank") > met + 1))
+        if left.isEmpty():
+            break
+        next_ = ranked.where((F.col("rank") > met) & (F.col("rank") <= met + step)).select("h", F.col("d").alias("first"), F.col("rank").alias("r"))
+        fresh = cut(left.join(next_, "h").where("r < rank").select("first", "d").distinct().join(tried, ["first", "d"], "left_anti"))
+        aligned, tried = cut(aligned.unionByName(align(fresh))), cut(tried.unionByName(fresh))
+        met, step = met + step, step * 4
+        left = unaligned(owners.join(left.select("d").distinct(), "d", "left_semi"), aligned)
     return aligned.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.count(F.lit(1)).alias("partners"))
 
 

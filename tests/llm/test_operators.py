@@ -506,6 +506,37 @@ def test_patience_is_an_alignment():
     assert linedup.patience([1, 2, 3, 4], [1, 2, 3, 4]) == [(i, i) for i in range(4)]
 
 
+def test_line_dedup_meets_every_holder(spark):
+    """Deleted long lines against the alignments of all overlapping pairs."""
+    rng = random.Random(11)
+    names = [f"line number {i} of the common stock" for i in range(6)]
+    p = names[0]
+    rows = [(1, f"x\n{p}\ny\n{p}\nz"), (2, f"q\n{p}\nr"), (3, f"s\n{p}\nt"), (4, "\n".join(["a", *names[1:3] * 2, "b"])), (5, "\n".join(["c", *names[1:3] * 2, "d"]))]
+    rows += [(6 + i, "\n".join([f"u{i}", *rng.choices(names, k=rng.randint(1, 6)), f"e{i}"])) for i in range(40)]
+    lines = {i: t.split("\n") for i, t in rows}
+    number = {x: i + 1 for i, x in enumerate(sorted({x for t in lines.values() for x in t}))}
+    want = {}
+    for i, t in lines.items():
+        gone = set()
+        for e in range(1, i):
+            if set(lines[e]) & set(t) & set(names):
+                gone |= {y for _, y in linedup.patience([number[x] for x in lines[e]], [number[x] for x in t]) if t[y] in names}
+        want[i] = "\n".join(x for y, x in enumerate(t) if y not in gone)
+    got = {r["doc_id"]: r["text"] for r in linedup.line_deduplicated(frame(spark, *((i, t, "s") for i, t in rows))).collect()}
+    assert got == want and got[3] == "s\nt" and got[5] == "c\nd"
+
+
+def test_common_subsequences_in_halves(monkeypatch):
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (rng.integers(0, 4, rng.integers(0, 20)) for _ in range(2))
+        whole = linedup.common(a, b)
+        monkeypatch.setattr(linedup, "CELLS", 8)
+        halves = linedup.common(a, b)
+        monkeypatch.undo()
+        assert len(halves) == len(whole) and all(a[i] == b[j] for i, j in halves) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(halves, halves[1:]))
+
+
 # -- all -----------------------------------------------------------------------------------------------------
 
 
