@@ -30,8 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": _pipeline,
 }
 ORACLES: dict[str, str] = {
-    "op4_suffix_dedup": lambda s, d: suffixes.op4_suffix_dedup(table(s, d, "documents")),
-    "op5_embedding_dedup": lambda s, d: embeddings.op5_embedding_dedup(table(s, d, "embeddings")),
     "op6_license_scan": licenses.SQL,
     "op8_decontamination": decontam.SQL,
     "op10_warc_revisits": warc.SQL,
