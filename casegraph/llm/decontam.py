@@ -68,7 +68,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     found = probes.join(_small(index), "hash").groupBy("doc_id", "text_hash", "item_id", "needed").agg(F.countDistinct("hash").alias("hits"))
     pairs = cut(found.where("hits >= needed").select("doc_id", "text_hash", "item_id"))
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.array_distinct(strings("w")).alias("s"))
-    wanted = pairs.join(_small(items), "item_id").select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "item_id", F.size("s").alias("n"), F.explode("s").alias("w_shingle"))
+    items = items.withColumnRenamed("item_id", "i_id")
+    wanted = pairs.join(_small(items), F.col("item_id").eqNullSafe(F.col("i_id"))).select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "item_id", F.size("s").alias("n"), F.explode("s").alias("w_shingle"))
     keys = pairs.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
     texts = docs.join(_small(keys), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left_semi")
     have = texts.select("doc_id", "text_hash", words(F.col("text")).alias("w")).select("doc_id", "text_hash", F.explode(strings("w")).alias("shingle")).distinct()

@@ -415,6 +415,20 @@ def test_telling_words_lose_no_template():
         assert 2 * rest / (rest + len(own)) < licenses.THRESHOLD, name
 
 
+def test_decontamination_of_items_without_id(spark):
+    item = "seven words of a benchmark item without any id"
+    docs = frame(spark, (1, f"before it {item} and after", "a"), (2, "nothing of the kind is held by this other text", "a"))
+    bench = spark.createDataFrame([(None, item), (5, "some other question that no document here holds at all")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["n_shared"]) for r in decontam.op8_decontamination(docs, bench).collect()] == [(1, None, 5)]
+    assert [r["doc_id"] for r in decontam.decontaminated(docs, bench).collect()] == [2]
+
+
+def test_oracles_are_sql():
+    from casegraph.llm import registry
+
+    assert all(isinstance(x, str) for x in registry.ORACLES.values())
+
+
 def test_decontamination(spark, docs):
     bench = table(spark, SMALL, "benchmark")
     items = bench.collect()
