@@ -9,24 +9,52 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset a temporary one, in local mode only."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         held = sc.getCheckpointDir()
+        if held is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing Parquet into the shared folder: it outlives executors, and its size is known to the planner."""
+    """Cut lineage by writing Parquet into the shared folder: it outlives executors, and its size is known to the planner.
+
+    All that an application cuts lies in one folder, which goes when the application ends; discard() drops one sooner.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{checkpoint_dir(spark).rstrip('/')}/cuts-{uuid.uuid4().hex}"
+        fs, root = _path(spark, _ROOTS[app])
+        fs.deleteOnExit(root)
+    path = f"{_ROOTS[app]}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what cut() wrote for these frames; nothing that still reads them may be evaluated afterwards."""
+    for df in frames:
+        if path := getattr(df, "_cut_path", None):
+            fs, p = _path(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def _summary(df: DataFrame) -> tuple[int, int]:
@@ -45,11 +73,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _summary(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lows = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old, lows, large, low)
         now = _summary(e)
         if now == before:
             break
