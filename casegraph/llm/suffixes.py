@@ -3,18 +3,21 @@
 Only some suffixes are sorted: those at anchors. A window of LENGTH bytes has as its anchor the GRAM-byte string in it
 with the smallest hash (the leftmost of equals), so equal windows have their anchors at equal places. Neighbouring
 windows with one anchor form a run, about 50 windows; a run's suffix is read as two tokens, the anchor's hash and
-the hash of all bytes that the run's windows cover. Splitters sampled from the suffixes range-partition them by their
-leading tokens (ties go by document and place, so a passage in a third of all documents fills many buckets);
+the hash of all bytes that the run's windows cover, 64 bits each. Splitters sampled from the suffixes range-partition them
+by their leading tokens (ties go by a salt, document and place, so a passage in a third of all documents fills many buckets);
 a bucket sorts its suffixes by multikey quicksort on the tokens and compares neighbours:
 
 * an anchor that occurs once: none of the run's windows occurs elsewhere;
 * both tokens occur again: all windows do, and their union is the bytes that the run covers;
-* the anchor occurs again but not the run, or a group of equal anchors touches the bucket's boundary:
-  the run lies at the edge of a repeated passage and its windows are compared one by one, across all buckets, with
-  those of one run of each kind that shares its anchor. Their hashes are counted with map-side combine.
+* the anchor occurs again but not the run, or the anchor is a bucket's first or last and may go on in the next one:
+  the run lies at the edge of a repeated passage and its windows are compared one by one.
 
-Equality of runs is judged by two independent 64-bit hashes, that of windows by 96 bits of two. Windows that repeat within a run share the anchor, hence overlap: a run
-removes one interval.
+For the edges the bytes that the runs cover are read from the texts, range-partitioned by anchor in the same way, and a
+bucket compares the windows of one anchor byte by byte. Anchors at a bucket's boundary are compared across buckets: the
+windows are counted by hashes of 128 bits with map-side combine, so those of a hot passage may lie in any number of
+buckets. Windows that repeat within a run share the anchor, hence overlap: a run removes one interval.
+
+What tells whole runs apart is 128 bits of two independent hashes, not their bytes; everything else is compared exactly.
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, text_hash
+from .common import cut, discard, text_hash
 
 LENGTH, GRAM = 200, 104
-#: Suffixes in a bucket, about; bytes of a text that are hashed at once.
-BUCKET, CHUNK = 400_000, 1 << 19
+#: Suffixes in a bucket and edge runs in one, about; bytes of a text that are hashed at once; the tokens' salts.
+BUCKET, EDGES, CHUNK, SALTS = 400_000, 20_000, 1 << 19, 64
+#: Rows that a task yields at once.
+ROWS = 20_000
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _rng = np.random.default_rng(20)
@@ -76,9 +82,9 @@ def _smallest(keys: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(first window, last window, anchor's hash, hash of the covered bytes and the anchor's place) of each run of a chunk."""
+    """(first window, last window, anchor's hash, hash of the covered bytes and the anchor's place, that place) of each run of a chunk."""
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64))
     w = length - gram + 1
     first, second = _prefixes(data, 0), _prefixes(data, 1)
     at = np.arange(len(data) - gram + 1)
@@ -88,7 +94,7 @@ def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     ends = np.r_[starts[1:], len(anchor)] - 1
     a = anchor[starts]
-    return starts, ends, hashes[a], _of(second, 1, starts, ends + length) + (a - starts).astype(np.uint64) * _MIX
+    return starts, ends, hashes[a], _of(second, 1, starts, ends + length) + (a - starts).astype(np.uint64) * _MIX, a - starts
 
 
 def _chunks(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -103,39 +109,46 @@ def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.zeros(0, np.uint8)
 
 
+_SUFFIX = "anchor long, covered long, salt byte, doc_id long, key long, p long, shape int"
+
+
 def _suffixes(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each run. shape: the windows after its first, and the anchor's place in it, times 1024."""
+        salt = 0
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for row, data in enumerate(_bytes(b.column(2))):
+                salt = (salt + 1) % SALTS
                 for s, piece in _chunks(data, length):
-                    p, q, anchor, covered = runs(piece, length, gram)
-                    for col, x in zip(out, (np.full(len(p), row), anchor.view(np.int64), covered.view(np.int64), p + s, (q - p).astype(np.int32))):
-                        col.append(x)
-            if not out[0]:
-                continue
-            row, anchor, covered, p, more = map(np.concatenate, out)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(covered), b.column(0).take(take), b.column(1).take(take), pa.array(p, pa.int64()), pa.array(more, pa.int32())], ["anchor", "covered", "doc_id", "key", "p", "more"])
+                    p, q, anchor, covered, at = runs(piece, length, gram)
+                    if len(p):
+                        take = pa.array(np.full(len(p), row))
+                        cols = [pa.array(anchor.view(np.int64)), pa.array(covered.view(np.int64)), pa.array(np.full(len(p), salt, np.int8)), b.column(0).take(take), b.column(1).take(take), pa.array(p + s), pa.array((q - p + at * 1024).astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays(cols, ["anchor", "covered", "salt", "doc_id", "key", "p", "shape"])
 
     return run
 
 
-def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
-    """The order of token sequences: by the first token, and within runs of equal ones by those that follow."""
-    order = np.argsort(tokens[0], kind="stable")
-    tied = [slice(0, len(order))]
-    for depth in range(1, len(tokens)):
-        above, nxt = tokens[depth - 1], []
-        for part in tied:
-            x = above[order[part]]
-            edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]) + part.start
-            wide = np.flatnonzero(np.diff(edge) > 1)
-            nxt += [slice(s, e) for s, e in zip(edge[wide].tolist(), edge[wide + 1].tolist())]
-        for part in nxt:
-            mine = order[part]
-            order[part] = mine[np.argsort(tokens[depth][mine], kind="stable")]
-        tied = nxt
+def multikey_order(tokens: list[np.ndarray], small: int = 1 << 14) -> np.ndarray:
+    """The order of token sequences by multikey quicksort: rows are parted into those with a lesser, an equal and a greater
+    token than the pivot's; the equal ones go on with the next token. Parts of few rows are sorted at once."""
+    order = np.arange(len(tokens[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        mine = order[lo:hi]
+        if depth == len(tokens) or hi - lo < 2:
+            continue
+        if hi - lo <= small:
+            order[lo:hi] = mine[np.lexsort([t[mine] for t in tokens[depth:][::-1]])]
+            continue
+        x = tokens[depth][mine]
+        pivot = np.sort(x[:: max(1, len(x) // 9)])[4]
+        less, more = x < pivot, x > pivot
+        same = ~(less | more)
+        a, b = lo + int(less.sum()), hi - int(more.sum())
+        order[lo:hi] = np.concatenate([mine[less], mine[same], mine[more]])
+        todo += [(lo, a, depth), (a, b, depth + 1), (b, hi, depth)]
     return order
 
 
@@ -158,31 +171,104 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edge = ((alike > 1) & (kinds > 1) | border) & (~whole | new_c)  # of runs that are whole, one speaks for its kind
     keep = whole | edge
     take = pa.array(order[keep])
-    for b in t.take(take).append_column("whole", pa.array(whole[keep])).append_column("edge", pa.array(edge[keep])).select(["doc_id", "key", "p", "more", "whole", "edge"]).to_batches():
-        yield b
+    yield from t.take(take).append_column("whole", pa.array(whole[keep])).append_column("edge", pa.array(edge[keep])).select(["anchor", "doc_id", "key", "p", "shape", "whole", "edge"]).to_batches()
 
 
-def _windows(length: int):
+_RUN = "anchor long, doc_id long, key long, p long, shape int, whole boolean, span binary"
+
+
+def _spans(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A hash of 64 and one of 32 bits of every window of the runs, and whether it needs an answer."""
+        """The edge runs of each text with the bytes that they cover."""
         for b in batches:
             for row, (data, todo) in enumerate(zip(_bytes(b.column(2)), b.column(3).to_pylist())):
+                for s in range(0, len(todo), ROWS):
+                    some = todo[s : s + ROWS]
+                    take = pa.array(np.full(len(some), row))
+                    span = [data[r["p"] : r["p"] + (r["shape"] & 1023) + length].tobytes() for r in some]
+                    col = lambda name, kind: pa.array([r[name] for r in some], kind)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([col("anchor", pa.int64()), b.column(0).take(take), b.column(1).take(take), col("p", pa.int64()), col("shape", pa.int32()), col("whole", pa.bool_()), pa.array(span, pa.binary())], [x.split()[0] for x in _RUN.split(", ")])
+
+    return run
+
+
+def shared_windows(spans: list[bytes], shapes: list[int], ask: list[bool], length: int) -> list[tuple[int, int, int]]:
+    """(run, first, last): of runs of one anchor that ask, their first and last window that another window equals."""
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    more, place = [x & 1023 for x in shapes], [x >> 10 for x in shapes]
+    # windows that are equal have their anchors at equal places: only those d bytes before it are compared
+    for d in range(max(place), min(p - m for p, m in zip(place, more)) - 1, -1):
+        seen: dict[bytes, int] = {}
+        for i, span in enumerate(spans):
+            w = place[i] - d
+            if 0 <= w <= more[i]:
+                window = span[w : w + length]
+                j = seen.setdefault(window, i)
+                if j != i:
+                    for k in (i, j):
+                        if ask[k]:
+                            u = place[k] - d
+                            first[k], last[k] = min(first.get(k, u), u), max(last.get(k, u), u)
+    return [(i, first[i], last[i]) for i in sorted(first)]
+
+
+def _compared(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by anchor. Runs whose anchor lies within the bucket give the interval [s, e) that they remove; those
+        of its first and last anchor are handed on with their bytes."""
+        names = ["anchor", "doc_id", "key", "p", "shape", "whole", "span", "s", "e"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
+        group: list[tuple] = []
+        leading, out = None, []
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            out.clear()
+            return batch
+
+        def settle() -> None:
+            if not all(r[5] for r in group) and len(group) > 1:
+                for i, s, e in shared_windows([r[6] for r in group], [r[4] for r in group], [not r[5] for r in group], length):
+                    r = group[i]
+                    out.append((r[0], r[1], r[2], r[3], r[4], r[5], None, r[3] + s, r[3] + e + length))
+
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                leading = r[0] if leading is None else leading
+                if r[0] == leading:
+                    out.append((*r, None, None))
+                else:
+                    if group and group[0][0] != r[0]:
+                        settle()
+                        group.clear()
+                    group.append(r)
+                if len(out) >= ROWS:
+                    yield made()
+        out += [(*r, None, None) for r in group]  # the last anchor
+        if out:
+            yield made()
+
+    return run
+
+
+def _windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """128 bits of every window of the runs, and whether it needs an answer."""
+        for b in batches:
+            shapes = b.column(4).to_numpy() & 1023
+            for lo in range(0, b.num_rows, 2000):
                 out = []
-                todo.sort(key=lambda r: r["p"])
-                i = 0
-                while i < len(todo):
-                    s = todo[i]["p"]
-                    piece = data[s : s + CHUNK]
-                    pre = [_prefixes(piece, 0), _prefixes(piece, 1)]
-                    while i < len(todo) and todo[i]["p"] + todo[i]["more"] + length - s <= len(piece):
-                        r = todo[i]
-                        at = np.arange(r["p"] - s, r["p"] - s + r["more"] + 1)
-                        out.append((_of(pre[0], 0, at, at + length), _of(pre[1], 1, at, at + length), np.full(len(at), r["p"]), at + s, np.full(len(at), not r["whole"])))
-                        i += 1
-                if out:
-                    h1, h2, p, w, ask = map(np.concatenate, zip(*out))
-                    take = pa.array(np.full(len(w), row))
-                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(p), pa.array(w), pa.array(ask)], ["h1", "h2", "doc_id", "key", "p", "w", "ask"])
+                for i in range(lo, min(b.num_rows, lo + 2000)):
+                    data = np.frombuffer(b.column(6)[i].as_buffer(), np.uint8)
+                    at = np.arange(shapes[i] + 1)
+                    one, two = (_of(_prefixes(data, k), k, at, at + length) for k in (0, 1))
+                    out.append((np.full(len(at), i), one.view(np.int64), two.view(np.int64), at))
+                row, one, two, at = map(np.concatenate, zip(*out))
+                take = pa.array(row)
+                p = b.column(3).take(take)
+                ask = pc.invert(b.column(5).take(take))
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), b.column(1).take(take), b.column(2).take(take), p, pc.add(p, pa.array(at)), ask], ["h1", "h2", "doc_id", "key", "p", "w", "ask"])
 
     return run
 
@@ -209,41 +295,38 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _key() -> Column:
-    return text_hash()
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", text_hash().alias("key"), "text")
 
 
-def _with(documents: DataFrame, found: DataFrame, name: str, others: bool) -> DataFrame:
-    """documents with the array of found (by id and key); only texts with an entry are moved where those are few enough
-    to tell executors which."""
-    keys = found.select("doc_id", "key")
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), name)
-    on = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key"))
-    if keys.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return documents.join(found, on, "left" if others else "inner").select("doc_id", "key", "text", name)
-    k = F.broadcast(keys.select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key")))
-    of = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key"))
-    some = documents.join(k, of, "left_semi").join(found.hint("shuffle_merge"), on).select("doc_id", "key", "text", name)
-    if not others:
-        return some
-    return some.unionByName(documents.join(k, of, "left_anti").withColumn(name, F.lit(None).cast(found.schema[name].dataType)).select("doc_id", "key", "text", name))
+def _with(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs with the array that found has for an id and key."""
+    found = found.withColumnsRenamed({"doc_id": "f_id", "key": "f_key"})
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), how).drop("f_id", "f_key")
 
 
 def repeated_intervals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, key, cuts): byte intervals [s, e) to remove, for each document that has any. key is text_hash()."""
-    docs = documents.select("doc_id", _key().alias("key"), "text")
-    suffixes = cut(docs.mapInArrow(_suffixes(length, gram), "anchor long, covered long, doc_id long, key long, p long, more int"))
-    buckets = max(8, -(-suffixes.count() // BUCKET))
-    dealt = suffixes.repartitionByRange(buckets, "anchor", "covered", "doc_id", "p")
-    found = cut(dealt.mapInArrow(_neighbours, "doc_id long, key long, p long, more int, whole boolean, edge boolean"))
-    todo = cut(found.where("edge").groupBy("doc_id", "key").agg(F.collect_set(F.struct("p", "more", "whole")).alias("todo")))
+    docs = _texts(documents)
+    n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-n_bytes // (BUCKET * (length - gram + 2) // 2)))
+    dealt = docs.mapInArrow(_suffixes(length, gram), _SUFFIX).repartitionByRange(buckets, "anchor", "covered", "salt", "doc_id", "p")
+    found = cut(dealt.mapInArrow(_neighbours, "anchor long, doc_id long, key long, p long, shape int, whole boolean, edge boolean"))
+    n_edges = found.where("edge").count()
+    todo = found.where("edge").groupBy("doc_id", "key").agg(F.collect_set(F.struct("anchor", "p", "shape", "whole")).alias("todo"))
     # rows that repeat id and text count as two: each window of theirs occurs twice
-    windows = cut(_with(docs, todo, "todo", False).mapInArrow(_windows(length), "h1 long, h2 int, doc_id long, key long, p long, w long, ask boolean"))
-    again = cut(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("asked")).where("n > 1 AND asked").select("h1", "h2"))
+    spans = cut(_with(docs, todo, "inner").select("doc_id", "key", "text", "todo").mapInArrow(_spans(length), _RUN))
+    near = spans.repartitionByRange(max(8, -(-n_edges // EDGES)), "anchor", "doc_id", "key", "p").sortWithinPartitions("anchor")
+    near = cut(near.mapInArrow(_compared(length), f"{_RUN}, s long, e long"))
+    border = near.where("span IS NOT NULL").select(*(x.split()[0] for x in _RUN.split(", ")))
+    windows = cut(border.mapInArrow(_windows(length), "h1 long, h2 long, doc_id long, key long, p long, w long, ask boolean"))
+    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("asked")).where("n > 1 AND asked").select("h1", "h2")
     edges = windows.where("ask").join(again, ["h1", "h2"], "left_semi").groupBy("doc_id", "key", "p").agg(F.min("w").alias("s"), (F.max("w") + length).alias("e"))
-    whole = found.where("whole").select("doc_id", "key", F.col("p").alias("s"), (F.col("p") + F.col("more") + length).alias("e"))
-    both = whole.unionByName(edges.select("doc_id", "key", "s", "e"))
-    return both.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
+    whole = found.where("whole").select("doc_id", "key", F.col("p").alias("s"), (F.col("p") + F.expr("shape & 1023") + length).alias("e"))
+    both = whole.unionByName(near.where("span IS NULL").select("doc_id", "key", "s", "e")).unionByName(edges.select("doc_id", "key", "s", "e"))
+    cuts = cut(both.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("cuts")))
+    discard(found, spans, near, windows)
+    return cuts
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -252,10 +335,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     Null texts count as empty and texts under the length lose nothing. Rows that repeat lose all bytes that windows
     cover, being copies of each other. Ids may repeat or be null; other columns are ignored; an empty table gives no rows.
     """
-    docs = documents.select("doc_id", _key().alias("key"), "text")
-    cuts = cut(repeated_intervals(documents, length, gram))
-    return _with(docs, cuts, "cuts", True).select("doc_id", "text", "cuts").mapInArrow(_cuts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cuts = repeated_intervals(documents, length, gram)
+    return _with(_texts(documents), cuts, "left").select("doc_id", "text", "cuts").mapInArrow(_cuts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4_suffix_dedup(documents: DataFrame) -> DataFrame:
+    """What each document loses to strings of 200 bytes that also start elsewhere; hard inputs are treated as by remove_repeats."""
     return remove_repeats(documents)
