@@ -1,11 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Lines of at least MIN_WORDS words are hashed; a line that another document holds too makes a pair of the line's
-first document and each later one: a star, so a line in a third of all documents makes one pair for each. A pair's
-line hashes are aligned by patience diff (lines that both documents hold once, longest increasing run, then within the
-gaps; a longest common subsequence where a gap has no such line), and the aligned blocks that hold a hashed line are
-deleted from the later document. Hashed lines that stay are paired in further rounds with the next 4, 16, ... earlier
-holders, until each is deleted or has met all of them: so a hashed line goes if any earlier document that holds it aligns it.
+Lines of at least MIN_WORDS words are hashed. Rare lines, held by at most RARE documents, pair documents first: each
+later holder with the line's first one. A pair's line hashes are aligned by patience diff (lines that both documents hold
+once, longest increasing run, then within the gaps; a longest common subsequence where a gap has no such line), and the
+aligned blocks that hold a hashed line are deleted from the later document. Hashed lines that stay, the frequent ones
+among them, pair their document in further rounds with the line's first holder and then the next 4, 16, ... earlier ones,
+until each is deleted or has met all of them: a hashed line goes if any earlier document that holds it aligns it. So a line
+in a third of all documents makes one pair for each where it aligns, whatever its number of holders.
 Documents are ordered by id, nulls last, then by a hash of the text; only line hashes are moved to form and align pairs.
 """
 
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_hash
+from .common import cut, discard, packed, same_row, text_hash, unpacked
 
 MIN_WORDS = 5
+#: Documents that hold a rare line, at most.
+RARE = 32
 #: Cells of a table of common subsequences; larger ones are halved.
 CELLS = 1 << 22
 
@@ -154,79 +157,93 @@ def deletions(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = documents.select("doc_id", text_hash().alias("text_hash"), lines(F.col("text")).alias("l"))
     hashed = docs.select("doc_id", "text_hash", F.transform("l", _line_hash).alias("h"), F.transform("l", lambda x: _long(x, min_words)).alias("k"))
     # rows that repeat id and text are one document here
-    hashed = cut(hashed.select("doc_id", "text_hash", "h", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("k", i)).alias("anchors")))
+    hashed = cut(hashed.select("doc_id", "text_hash", "h", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("k", i)).alias("anchors")).where("size(anchors) > 0"))
     key = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")
-    held = hashed.where("size(anchors) > 0").select(key.alias("d"), F.explode(F.array_distinct(F.transform("anchors", lambda i: F.get("h", i)))).alias("h"))
-    firsts = cut(held.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first != last").select("h", "first"))
-    pairs = cut(held.join(firsts, "h").where("d != first").select("first", "d").distinct())
-    sides = hashed.select(key.alias("d"), "h", "anchors")
-    once = lambda ds: ds.groupBy("d").agg(F.first("h").alias("h"), F.first("anchors").alias("anchors"))
+    held = hashed.select(key.alias("d"), F.explode(F.array_distinct(F.transform("anchors", lambda i: F.get("h", i)))).alias("h"))
+    shared = held.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first != last").drop("last")
+    later = cut(held.join(shared, "h").where("d != first").select("d", "h", "first", "n"))
+    used = later.select("d").union(later.select("first")).distinct()
+    known = cut(hashed.select(key.alias("d"), "h", "anchors").join(used, "d", "left_semi").groupBy("d").agg(F.first("h").alias("h"), F.first("anchors").alias("anchors")))
+    early = known.select(F.col("d").alias("first"), F.col("h").alias("early"))
 
     def align(pairs: DataFrame) -> DataFrame:
-        used = pairs.select("d").union(pairs.select(F.col("first").alias("d"))).distinct()
-        known = cut(once(sides.join(used, "d", "left_semi")))
-        later = pairs.join(known, "d").select("first", "d", F.col("h").alias("later"), "anchors")
-        both = later.join(known.select(F.col("d").alias("first"), F.col("h").alias("early")), "first")
+        both = pairs.join(known.withColumnRenamed("h", "later"), "d").join(early, "first")
         rows = both.select("d.doc_id", "d.text_hash", "early", "later", "anchors")
         return cut(rows.mapInArrow(_aligned, "doc_id long, text_hash long, runs array<struct<s:int,e:int>>"))
 
-    def unaligned(docs: DataFrame, aligned: DataFrame) -> DataFrame:
-        """(d, h): hashed lines of which the documents still have an occurrence."""
+    def staying(open_: DataFrame, aligned: DataFrame) -> DataFrame:
+        """Those of open_ (d, h and more) of which the document still has an occurrence."""
         runs = aligned.groupBy(key.alias("d")).agg(F.flatten(F.collect_set("runs")).alias("runs"))
-        open_ = F.filter("anchors", lambda i: ~F.exists(F.coalesce("runs", F.array()), lambda r: (r["s"] <= i) & (i < r["e"])))
-        rows = docs.join(runs, "d", "left").select("d", "h", open_.alias("open"))
-        return rows.select("d", F.explode(F.array_distinct(F.transform("open", lambda i: F.get("h", i)))).alias("h"))
-
-    aligned, tried, met = align(pairs), pairs, 1
-    owners = cut(once(sides.join(pairs.select("d").distinct(), "d", "left_semi")))
-    left = cut(unaligned(owners, aligned).join(firsts.select("h"), "h", "left_semi"))
-    holders = held.join(left.select("h").distinct(), "h", "left_semi").distinct()
-    ranked = cut(holders.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("d"))))
-    step = 4
+        left = F.filter("anchors", lambda i: ~F.exists("runs", lambda r: (r["s"] <= i) & (i < r["e"])))
+        gone = known.join(runs, "d").select("d", "h", "anchors", left.alias("left"))
+        gone = gone.select("d", F.explode(F.array_except(F.transform("anchors", lambda i: F.get("h", i)), F.transform("left", lambda i: F.get("h", i)))).alias("h"))
+        return open_.join(gone, ["d", "h"], "left_anti")
+
+    tried = cut(later.where(F.col("n") <= RARE).select("first", "d").distinct())
+    aligned = align(tried)
+    left = cut(staying(later, aligned))
+    fresh = cut(left.where(F.col("n") > RARE).select("first", "d").distinct().join(tried, ["first", "d"], "left_anti"))
+    met, step = 1, 4
     while True:
-        left = cut(left.join(ranked, ["d", "h"]).where(F.col("rank") > met + 1))
+        if not fresh.isEmpty():
+            aligned, tried = cut(aligned.unionByName(align(fresh))), cut(tried.unionByName(fresh))
+            left = cut(staying(left, aligned))
         if left.isEmpty():
             break
-        next_ = ranked.where((F.col("rank") > met) & (F.col("rank") <= met + step)).select("h", F.col("d").alias("first"), F.col("rank").alias("r"))
-        fresh = cut(left.join(next_, "h").where("r < rank").select("first", "d").distinct().join(tried, ["first", "d"], "left_anti"))
-        aligned, tried = cut(aligned.unionByName(align(fresh))), cut(tried.unionByName(fresh))
+        # of each line only the holders that are next: the window keeps few rows a line in every task before it shuffles
+        lines_ = left.select("h").distinct()
+        holders = later.select("h", "d").union(later.select("h", F.col("first").alias("d"))).distinct().join(lines_, "h", "left_semi")
+        top = holders.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("d"))).where(F.col("rank") <= met + step)
+        top = cut(top.where(F.col("rank") > met))
+        next_ = top.select("h", F.col("d").alias("next"))
+        fresh = cut(left.join(next_, "h").where("next < d").select(F.col("next").alias("first"), "d").distinct().join(tried, ["first", "d"], "left_anti"))
         met, step = met + step, step * 4
-        left = unaligned(owners.join(left.select("d").distinct(), "d", "left_semi"), aligned)
+        beyond = top.where(F.col("rank") == met).select("h", F.col("d").alias("edge"))
+        open_ = cut(left.join(beyond, "h").where("edge < d").select("d", "h", "first", "n"))
+        if open_.isEmpty():
+            if not fresh.isEmpty():
+                aligned = cut(aligned.unionByName(align(fresh)))
+            break
+        left = open_
+    discard(hashed, later)
     return aligned.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.count(F.lit(1)).alias("partners"))
 
 
 def _with_runs(documents: DataFrame, min_words: int) -> DataFrame:
-    found = cut(deletions(documents, min_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("runs").alias("__runs"), F.col("partners").alias("__partners")))
-    rows = documents.withColumn("__h", text_hash())
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    found = cut(deletions(documents, min_words).withColumnsRenamed({"doc_id": "r_id", "text_hash": "r_hash"}))
+    return packed(documents).join(found, same_row("r_id", "r_hash"), "left")
 
 
 def _kept() -> Column:
     """The text without its deleted lines."""
-    stay = F.filter(lines(F.col("text")), lambda x, i: ~F.exists("__runs", lambda r: (r["s"] <= i) & (i < r["e"])))
-    return F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    stay = F.filter(lines(F.col("text")), lambda x, i: ~F.exists("runs", lambda r: (r["s"] <= i) & (i < r["e"])))
+    return F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
 
 
 def line_deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """documents with the deleted lines gone from text, and n_chars counted anew where that column exists.
 
     Null and empty texts stay as they are; documents that lose every line stay with an empty text; rows that repeat
-    id and text are one document and get one treatment; ids may repeat or be null; further columns are kept; an
-    empty table gives no rows. Columns that begin with two underscores are reserved.
+    id and text are one document and get one treatment; ids may repeat or be null; further columns are kept,
+    whatever their names; an empty table gives no rows.
     """
-    made = _with_runs(documents, min_words).withColumn("text", _kept())
+    rows = _with_runs(documents, min_words).withColumn("kept", _kept())
+    instead = {"text": F.col("kept")}
     if "n_chars" in documents.columns:
-        made = made.withColumn("n_chars", F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return made.select(*documents.columns)
+        instead["n_chars"] = F.when(F.col("runs").isNull(), F.col("row").getField("n_chars")).otherwise(F.length("kept").cast("long"))
+    return unpacked(rows, documents.columns, **instead)
 
 
 def op9_line_dedup(documents: DataFrame) -> DataFrame:
-    """Lines before, lines deleted, partners and the kept text's digest of every row of documents."""
+    """Lines before, lines deleted, partners and the kept text's digest of every row of documents.
+
+    A null text is one empty line. Rows that repeat id and text get equal results, ids may repeat or be null, other
+    columns are ignored and an empty table gives no rows; see line_deduplicated.
+    """
     rows = _with_runs(documents.select("doc_id", "text"), MIN_WORDS)
     all_lines = F.size(lines(F.col("text")))
-    kept = _kept()
-    stay = F.filter(F.sequence(F.lit(0), all_lines - 1), lambda i: F.exists("__runs", lambda r: (r["s"] <= i) & (i < r["e"])))
+    stay = F.filter(F.sequence(F.lit(0), all_lines - 1), lambda i: F.exists("runs", lambda r: (r["s"] <= i) & (i < r["e"])))
     return rows.select(
-        "doc_id", all_lines.cast("long").alias("n_lines"), F.when(F.col("__runs").isNull(), 0).otherwise(F.size(stay)).cast("long").alias("n_deleted"),
-        F.coalesce("__partners", F.lit(0)).alias("n_partners"), F.sha2(F.coalesce(kept, F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        "doc_id", all_lines.cast("long").alias("n_lines"), F.when(F.col("runs").isNull(), 0).otherwise(F.size(stay)).cast("long").alias("n_deleted"),
+        F.coalesce("partners", F.lit(0)).alias("n_partners"), F.sha2(F.coalesce(_kept(), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
