@@ -51,44 +51,50 @@ def _weak(etag: Column) -> Column:
 def resolve_revisits(records: DataFrame, per_range: int = RANGE) -> DataFrame:
     """Each revisit with the response it repeats.
 
-    records: record_id (unique), url, ts, record_type ('response' or 'revisit'), status, headers (a map). Full responses
-    are those of status 200; they order by (ts, record_id), and one at the revisit's own time counts if its id is
-    smaller. Returns record_id, canonical_url, refers_to, outcome, headers. outcome: 'resolved' (an entity tag, else a
+    records: record_id, url, ts, record_type ('response' or 'revisit'), status, headers (a map). Rows that agree in all
+    of these are one record; ids may repeat or be null. Full responses are those of status 200; captures order by ts,
+    record_id, url and headers, and a response at the revisit's own time counts if it comes first in that order.
+    Returns record_id, canonical_url, refers_to, outcome, headers. outcome: 'resolved' (an entity tag, else a
     modification time, that both give is equal; tags compare weakly), 'unchecked' (there is no validator that both give), 'mismatch' or 'missing'
     (no earlier response, or no URL or time). headers are merged for the first two, else the revisit's own. Null
     headers count as none; further columns are ignored; without revisits there are no rows.
     """
     none = F.create_map().cast("map<string,string>")
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "record_type", "status", lowered(F.coalesce("headers", none)).alias("headers"))
+    head = lowered(F.coalesce("headers", none))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries(head), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    rows = records.select("record_id", "url", canonical_url(F.col("url")).alias("canonical_url"), "ts", "record_type", "status", head.alias("headers"), text.alias("text"))
+    rows = rows.dropDuplicates(["record_id", "url", "ts", "record_type", "status", "text"])
     lost = rows.where("record_type = 'revisit' AND (canonical_url IS NULL OR ts IS NULL)")
     lost = lost.select("record_id", "canonical_url", F.lit(None).cast("long").alias("refers_to"), F.lit("missing").alias("outcome"), "headers")
     full = (F.col("record_type") == "response") & (F.col("status") == 200)
     rows = rows.where((full | (F.col("record_type") == "revisit")) & F.col("canonical_url").isNotNull() & F.col("ts").isNotNull())
-    rows = cut(rows.withColumn("full", F.coalesce(full, F.lit(False))))
+    # rid tells records apart whose ids repeat; with ts and record_id before it, it orders them by url and headers
+    rid = F.struct("ts", "record_id", "url", "text")
+    rows = cut(rows.withColumn("full", F.coalesce(full, F.lit(False))).withColumn("rid", F.xxhash64(rid, "record_type", "status")))
     n = rows.count()
     ranges = max(1, -(-n // per_range))
     split = rows.agg(F.percentile_approx("ts", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
     bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(split)))).cast("array<long>"), lambda s: s < F.col("ts"))) if split else F.lit(0)
     # the headers stay behind: what is carried along is the response's id and validators
-    key = F.struct("ts", "record_id")
-    narrow = rows.select("record_id", "canonical_url", "ts", "full", bucket.alias("bucket"), key.alias("k"))
-    response = F.when(F.col("full"), F.col("record_id"))
+    key = F.struct("ts", "record_id", "url", "text")
+    narrow = rows.select("rid", "canonical_url", "ts", "full", bucket.alias("bucket"), key.alias("k"))
+    response = F.when(F.col("full"), F.col("rid"))
     inside = Window.partitionBy("canonical_url", "bucket").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     found = narrow.withColumn("near", F.last(response, ignorenulls=True).over(inside)).where("NOT full")
-    tails = narrow.where("full").groupBy("canonical_url", "bucket").agg(F.max_by("record_id", "k").alias("tail"))
+    tails = narrow.where("full").groupBy("canonical_url", "bucket").agg(F.max_by("rid", "k").alias("tail"))
     steps = tails.unionByName(narrow.where("NOT full").select("canonical_url", "bucket", F.lit(None).cast("long").alias("tail")).distinct())
     steps = steps.groupBy("canonical_url", "bucket").agg(F.max("tail").alias("tail"))
     along = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = steps.select("canonical_url", "bucket", F.last("tail", ignorenulls=True).over(along).alias("far"))
-    asof = found.join(carried, ["canonical_url", "bucket"], "left").select("record_id", F.coalesce("near", "far").alias("refers_to"))
+    asof = found.join(carried, ["canonical_url", "bucket"], "left").select("rid", F.coalesce("near", "far").alias("to"))
     asof = cut(asof)
-    own = rows.where("NOT full").select("record_id", "canonical_url", F.col("headers").alias("h")).join(asof, "record_id")
-    stored = rows.where("full").select(F.col("record_id").alias("s_id"), F.col("headers").alias("s"))
-    both = own.join(stored, F.col("refers_to") == F.col("s_id"), "left")
+    own = rows.where("NOT full").select("rid", "record_id", "canonical_url", F.col("headers").alias("h")).join(asof, "rid")
+    stored = rows.where("full").select(F.col("rid").alias("s_rid"), F.col("record_id").alias("refers_to"), F.col("headers").alias("s"))
+    both = own.join(stored, F.col("to") == F.col("s_rid"), "left")
     tag, since = F.col("h")["etag"], F.col("h")["last-modified"]
     s_tag, s_since = F.col("s")["etag"], F.col("s")["last-modified"]
     same = F.when(tag.isNotNull() & s_tag.isNotNull(), _weak(tag) == _weak(s_tag)).when(since.isNotNull() & s_since.isNotNull(), F.trim(since) == F.trim(s_since))
-    outcome = F.when(F.col("s_id").isNull(), "missing").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
+    outcome = F.when(F.col("s_rid").isNull(), "missing").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
     both = both.withColumn("outcome", outcome)
     headers = F.when(F.col("outcome").isin("resolved", "unchecked"), merged(F.col("s"), F.col("h"))).otherwise(F.col("h"))
     return both.select("record_id", "canonical_url", "refers_to", "outcome", headers.alias("headers")).unionByName(lost)
@@ -98,7 +104,9 @@ def crawl(pages: DataFrame) -> DataFrame:
     """pages as a crawl: each page is a full response at its id's time, visited again a million later.
 
     The second visit is told that nothing changed. It spells the URL another way; every fifth page gives no entity
-    tag, every seventh a tag of another version, and every eleventh page's first visit failed.
+    tag, every seventh a tag of another version, and every eleventh page's first visit failed. A page without an id
+    makes records without id and time, one without a URL records without URL, null html counts as empty; pages that
+    repeat make records that repeat.
     """
     tag = F.concat(F.lit('"'), F.substr(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256), F.lit(1), F.lit(16)), F.lit('"'))
     since = F.concat(F.lit("day "), (F.col("page_id") % 1000).cast("string"))
@@ -116,27 +124,31 @@ def crawl(pages: DataFrame) -> DataFrame:
 
 
 def op10_warc_revisits(pages: DataFrame) -> DataFrame:
-    """Every second visit with the response it repeats and the headers' digest."""
+    """Every second visit with the response it repeats and the headers as text; pages that repeat count once, those without
+    id or URL are 'missing' (see crawl and resolve_revisits), and an empty table gives no rows."""
     entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return resolve_revisits(crawl(pages)).select("record_id", "canonical_url", "refers_to", "outcome", F.array_join(entries, ";").alias("headers"))
 
 
 SQL = r"""
-WITH p AS (SELECT page_id, url, '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag, 'day ' || (page_id % 1000) AS since,
+WITH p AS (SELECT DISTINCT page_id, url, '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag, 'day ' || (page_id % 1000) AS since,
   regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i)(?:https?:)?//', '') AS bare FROM pages),
 c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*', 0)), ':(?:80|443)$', ''), '^www[0-9]*\.', '') AS host,
   regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
   array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
     lambda q: q != '' AND NOT regexp_matches(lower(q), '^(?:utm_[a-z]+|gclid|fbclid|phpsessid|jsessionid|sid)(?:=|$)'))), '&') AS q FROM p),
-u AS (SELECT *, host || path || '/' || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical_url FROM c),
-r AS (SELECT a.page_id, a.canonical_url, a.tag, a.since, b.page_id AS ref, b.tag AS b_tag, b.since AS b_since
-  FROM u a LEFT JOIN (SELECT canonical_url, arg_max(page_id, page_id) AS page_id, arg_max(tag, page_id) AS tag, arg_max(since, page_id) AS since
-    FROM u WHERE page_id % 11 != 10 GROUP BY canonical_url) b USING (canonical_url)),
-v AS (SELECT *, CASE WHEN page_id % 5 = 4 THEN NULL WHEN page_id % 7 = 6 THEN '"other"' ELSE tag END AS h_tag, CASE WHEN ref % 5 = 4 THEN NULL ELSE b_tag END AS s_tag FROM r),
+u AS (SELECT *, host || path || '/' || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical_url,
+  CASE WHEN page_id % 5 = 4 THEN NULL ELSE tag END AS own_tag FROM c),
+w AS (SELECT DISTINCT page_id, regexp_replace(url, '#.*$', '') AS url, canonical_url, since,
+  CASE WHEN page_id IS NULL OR page_id % 5 = 4 THEN NULL WHEN page_id % 7 = 6 THEN '"other"' ELSE tag END AS h_tag FROM u),
+f AS (SELECT canonical_url, page_id AS ts, arg_max(struct_pack(page_id := page_id, tag := own_tag, since := since), struct_pack(url := url, tag := coalesce(own_tag, ''))) AS b
+  FROM u WHERE page_id % 11 != 10 GROUP BY canonical_url, page_id),
+r AS (SELECT w.*, f.b.page_id AS ref, f.b.tag AS s_tag, f.b.since AS b_since
+  FROM w ASOF LEFT JOIN f ON w.canonical_url = f.canonical_url AND f.ts < w.page_id + 1000000),
 o AS (SELECT *, CASE WHEN ref IS NULL THEN 'missing' WHEN h_tag IS NOT NULL AND s_tag IS NOT NULL THEN CASE WHEN h_tag = s_tag THEN 'resolved' ELSE 'mismatch' END
   WHEN since = b_since THEN 'resolved' ELSE 'mismatch' END AS outcome,
-  CASE WHEN h_tag IS NULL THEN NULL WHEN page_id % 7 = 6 THEN h_tag ELSE 'W/' || h_tag END AS sent FROM v)
+  CASE WHEN h_tag IS NULL THEN NULL WHEN page_id % 7 = 6 THEN h_tag ELSE 'W/' || h_tag END AS sent FROM r)
 SELECT 2 * page_id + 1 AS record_id, canonical_url, 2 * ref AS refers_to, outcome, CASE WHEN outcome IN ('resolved', 'unchecked')
-  THEN 'cache-control=max-age=600;content-type=text/html' || coalesce(';etag=' || coalesce(sent, s_tag), '') || ';last-modified=' || since
-  ELSE 'cache-control=max-age=600;content-length=0' || coalesce(';etag=' || sent, '') || ';last-modified=' || since END AS headers FROM o
+  THEN 'cache-control=max-age=600;content-type=text/html' || coalesce(';etag=' || coalesce(sent, s_tag), '') || coalesce(';last-modified=' || since, '')
+  ELSE 'cache-control=max-age=600;content-length=0' || coalesce(';etag=' || sent, '') || coalesce(';last-modified=' || since, '') END AS headers FROM o
 """
