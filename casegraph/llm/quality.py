@@ -2,9 +2,10 @@
 
 A text is compressed block by block with either dictionary (a dictionary helps at a block's start only, so one long
 frame would hide it); the normalised difference of the two sizes says which text it is more like, and a logistic fit
-on labelled rows turns that into the chance of label 1. Fitting takes a bounded sample: for each label
-at most DICTIONARY rows with the smallest hashes build the dictionaries (at most CLIP code points of each), at most
-as many others calibrate. Scoring reads every whole text, once, and moves none.
+on labelled rows turns that into the chance of label 1. Fitting takes a bounded sample of rows: for each label at most
+DICTIONARY rows with the smallest hashes build the dictionaries, at most as many others calibrate. A dictionary's whole
+texts are cut into blocks and it is trained on the BLOCKS with the smallest hashes, from wherever in a text they are.
+Scoring reads every whole text, once, and moves none.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_hash
+from .common import text_hash, unpacked
 
-#: Labelled rows of each label for the dictionaries, and as many for calibration; what a row gives to a dictionary.
-DICTIONARY, CLIP = 1500, 4000
+#: Labelled rows of each label for the dictionaries, and as many for calibration; blocks that a dictionary is trained on.
+DICTIONARY, BLOCKS = 1500, 8192
 #: Bytes of a dictionary and of a block, and the compression level.
 DICT_BYTES, BLOCK, LEVEL = 64 << 10, 2048, 3
 #: Bytes that damp a short text's differences.
@@ -34,9 +35,8 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A trained dictionary; with too few texts to train on, their own last bytes."""
-    parts = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
+def dictionary(parts: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """A trained dictionary; with too few blocks to train on, their own last bytes."""
     try:
         return zstd.train_dictionary(size, parts, level=LEVEL).as_bytes()
     except zstd.ZstdError:
@@ -133,9 +133,15 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = DICTIONARY) -> Mo
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most 4 x rows ids
     sample = documents.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("l_id")).where("text IS NOT NULL AND text != ''")
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2))
-    got = sample.where(part == 0).select("y", F.substr("text", F.lit(1), F.lit(CLIP)).alias("t"), F.xxhash64("doc_id").alias("o"), text_hash().alias("h")).collect()
-    got.sort(key=lambda r: (r["o"], r["h"]))
-    texts = {y: [r["t"].encode("utf-8", "replace") for r in got if r["y"] == y] for y in (0, 1)}
+    data = F.encode("text", "utf-8")
+    starts = F.sequence(F.lit(0), F.octet_length("text") - 1, F.lit(BLOCK))
+    blocks = sample.where(part == 0).select("y", F.xxhash64("doc_id").alias("o"), text_hash().alias("h"), data.alias("d"), F.explode(starts).alias("i"))
+    blocks = blocks.select("y", "o", "h", "i", F.substr("d", F.col("i") + 1, F.lit(BLOCK)).alias("b"))
+    pick = F.xxhash64("o", "h", "i", F.lit(13))
+    texts = {}
+    for y in (0, 1):
+        got = blocks.where(F.col("y") == y).orderBy(pick, "o", "h", "i").limit(BLOCKS).select("o", "h", "i", "b").collect()
+        texts[y] = [bytes(r["b"]) for r in sorted(got, key=lambda r: (r["o"], r["h"], r["i"]))]
     least = min(sum(map(len, texts[y])) for y in (0, 1))
     if not least:
         return base
@@ -162,6 +168,11 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def quality_survivors(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the classifier doesn't reject, as they are."""
+    """The rows of documents that the classifier doesn't reject, as they are.
+
+    Null and empty texts score the labels' own share and stay or go together; equal texts fare alike; ids may repeat or
+    be null; further columns are kept, whatever their names; an empty table gives no rows.
+    """
     score = train(documents, labels).score(F.col("text"))
-    return documents.withColumn("__score", score).where("__score >= 0.5").drop("__score")
+    rows = documents.select(F.struct("*").alias("row"), score.alias("score"))
+    return unpacked(rows.where("score >= 0.5"), documents.columns)
