@@ -7,7 +7,8 @@ probes the neighbours one step up, so that of such a pair one finds the other. T
 thermometer code (0 -> 00, 1 -> 01, 2 -> 11), which makes the Manhattan distance a popcount of an exclusive or.
 
 Copies share a fingerprint and enter the grid once. A cell holds distinct fingerprints whose half has one embedding,
-so no number of copies fills it, and what it emits is a spanning forest of its links, never all pairs.
+so no number of copies fills it, and what it emits is a spanning forest of its links, never all pairs. A cell with more
+than HOT fingerprints is split by salts: each part stores its share and is probed by the others' and by all probes.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, text_hash
+from .common import connected_components, cut, discard, packed, same_row, text_hash, unpacked
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 _EVEN = np.uint64(0x5555555555555555)
-#: Fingerprints compared at once in a cell.
-BLOCK = 2048
+#: Fingerprints compared at once in a cell, and those above which a cell is split.
+BLOCK, HOT = 2048, 50_000
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -60,22 +61,45 @@ def embed(x: np.ndarray) -> np.ndarray:
     return (high | low) | ((high & low) << np.uint64(1))
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two stored rows for each fingerprint, and a probe for each cell one step up in a half."""
-    for b in batches:
-        fp = b.column(0).to_numpy().astype("<i8").view("<u8")
-        code = embed(fp)
-        for half in (0, 1):
-            cell = (code >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-            mark = np.uint64(half << 32)
-            cells, kinds, whose = [cell | mark], [np.zeros(len(fp), np.int8)], [fp]
-            for i in range(16):
-                field = (cell >> np.uint64(2 * i)) & np.uint64(3)
-                up = field < 3
-                cells.append((cell[up] | ((field[up] + np.uint64(1)) << np.uint64(2 * i))) | mark)
-                kinds.append(np.ones(up.sum(), np.int8))
-                whose.append(fp[up])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view("<i8")), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(whose).view("<i8"))], ["cell", "kind", "fp"])
+def _grid(probes: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two stored rows for each fingerprint and, if wanted, a probe for each cell one step up in a half."""
+        for b in batches:
+            fp = b.column(0).to_numpy().astype("<i8").view("<u8")
+            code = embed(fp)
+            for half in (0, 1):
+                cell = (code >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+                mark = np.uint64(half << 32)
+                cells, kinds, whose = [cell | mark], [np.zeros(len(fp), np.int8)], [fp]
+                for i in range(16 * probes):
+                    field = (cell >> np.uint64(2 * i)) & np.uint64(3)
+                    up = field < 3
+                    cells.append((cell[up] | ((field[up] + np.uint64(1)) << np.uint64(2 * i))) | mark)
+                    kinds.append(np.ones(up.sum(), np.int8))
+                    whose.append(fp[up])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view("<i8")), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(whose).view("<i8"))], ["cell", "kind", "fp"])
+
+    return run
+
+
+_cells, _stored = _grid(True), _grid(False)
+
+
+def cell_rows(nodes: DataFrame) -> DataFrame:
+    """(cell, kind, fp): the stored (0) and probing (1) fingerprints of each cell or part of one."""
+    schema = "cell long, kind byte, fp long"
+    sizes = nodes.select("fp").mapInArrow(_stored, schema).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    hot = cut(sizes.select(F.col("cell").alias("hot"), F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    rows = nodes.select("fp").mapInArrow(_cells, schema)
+    if hot.isEmpty():
+        return rows
+    both = rows.join(hot, F.col("cell") == F.col("hot"), "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    # a stored one probes the parts that follow its own, so that two of one cell meet once
+    least = F.when(F.col("kind") == 0, F.col("own")).otherwise(0)
+    parts = F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(least, F.col("parts") - 1))
+    both = both.select("*", F.explode(parts).alias("part"))
+    kind = F.when((F.col("kind") == 0) & (F.col("hot").isNull() | (F.col("part") == F.col("own"))), 0).otherwise(1).cast("byte")
+    return both.select(F.when(F.col("hot").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", "part")).alias("cell"), kind.alias("kind"), "fp")
 
 
 class Forest:
@@ -167,12 +191,12 @@ def simhash_components(documents: DataFrame, distance: int = DISTANCE) -> DataFr
         raise ValueError("one of two halves is within 1 only up to distance 3")
     docs = cut(fingerprints(documents))
     nodes = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    cells = nodes.select("fp").mapInArrow(_cells, "cell long, kind byte, fp long")
-    edges = cells.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_cell_links(distance), "a long, b long")
+    edges = cell_rows(nodes).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_cell_links(distance), "a long, b long")
     reps = connected_components(edges)
     linked = cut(nodes.join(reps, nodes.fp == reps.node, "left").select("fp", "first", F.coalesce("rep", "fp").alias("rep")))
     least = cut(linked.groupBy("rep").agg(F.min("first").alias("component_id")))
     named = cut(linked.join(least, "rep").select("fp", "component_id", "rep"))
+    discard(nodes, linked, least)
     return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "rep")
 
 
@@ -180,24 +204,28 @@ def survivors(documents: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of documents that stay, by found (doc_id, text_hash, rep): of each component, which rep tells, the row with
     the smallest id (null last); of rows that repeat it, id and text, one."""
     found = cut(found.select("doc_id", "text_hash", "rep"))
-    keep = found.groupBy("rep").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
-    rows = documents.withColumn("__h", text_hash())
-    repeats = cut(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
-    once = cut(repeats.join(keep.withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash"}), (F.col("doc_id").eqNullSafe(F.col("k_id"))) & (F.col("text_hash") == F.col("k_hash")), "left"))
-    gone = cut(once.where("k_hash IS NULL").select("doc_id", F.col("text_hash").alias("g_hash")).withColumnRenamed("doc_id", "g_id"))
-    stay = rows.join(gone, rows.doc_id.eqNullSafe(gone.g_id) & (rows["__h"] == gone.g_hash), "left_anti")
-    doubled = cut(once.where("k_hash IS NOT NULL AND n > 1").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")))
-    if doubled.isEmpty():
-        return stay.drop("__h")
-    twice = stay.join(doubled, rows.doc_id.eqNullSafe(doubled.g_id) & (rows["__h"] == doubled.g_hash), "left_semi").dropDuplicates(["doc_id", "__h"])
-    return stay.join(doubled, rows.doc_id.eqNullSafe(doubled.g_id) & (rows["__h"] == doubled.g_hash), "left_anti").unionByName(twice).drop("__h")
+    keep = found.groupBy("rep").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
+    repeats = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    told = cut(repeats.join(keep, same_row("k_id", "k_hash"), "left").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "n", F.col("k_hash").isNotNull().alias("kept")))
+    rows = packed(documents)
+    gone = told.where("NOT kept OR n > 1")
+    stay = rows.join(gone, same_row("g_id", "g_hash"), "left_anti").select("row")
+    doubled = cut(told.where("kept AND n > 1"))
+    if not doubled.isEmpty():
+        twice = rows.join(doubled, same_row("g_id", "g_hash"), "left_semi")
+        stay = stay.unionByName(twice.groupBy("doc_id", "text_hash").agg(F.first("row").alias("row")).select("row"))
+    return unpacked(stay, documents.columns)
 
 
 def simhash_survivors(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of documents without near copies of an earlier one, by fingerprints within the distance."""
+    """The rows of documents without near copies of an earlier one, by fingerprints within the distance.
+
+    Null and empty texts are one component. Ids may repeat or be null: see survivors. Further columns are kept, whatever
+    their names; an empty table gives no rows.
+    """
     return survivors(documents, simhash_components(documents, distance))
 
 
 def op2_simhash(documents: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row of documents."""
+    """doc_id, fingerprint (16 hex digits) and component_id of every row of documents; hard inputs: see simhash_components."""
     return simhash_components(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
