@@ -16,10 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, text_hash
+from .common import cut, numbered, text_hash
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, 42
 #: Documents in a bucket (about), and buckets whose residuals meet.
@@ -34,21 +34,25 @@ def words(col: str = "text") -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size): one row a source.
 
-    Sharing a budget by weight and sharing the excess over the caps again ends where every source has the lesser
-    of its cap and its weight times one common level. Sources whose cap over weight is smallest reach their caps first.
+    Sharing a budget by weight and sharing the excess over the caps again ends where every source has the lesser of its
+    cap and its weight times one common level. Each round takes the sources that the last level brings to their caps out
+    of the budget and shares the rest; it is one aggregate over the sources, which are ranked in ranges, so that there
+    may be any number of them.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = sizes.withColumn("w", w).withColumn("cap", most * F.col("source_size")).withColumn("r", F.col("cap") / F.col("w"))
-    everything = Window.partitionBy()
-    by = Window.orderBy("r", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("budget", share * F.sum("source_size").over(everything)).withColumn("weight", F.sum("w").over(everything))
-    rows = rows.withColumn("spent", F.sum("cap").over(by)).withColumn("used", F.sum("w").over(by))
-    # the level if this source and those before it are at their caps; it holds where the level reaches their caps
-    level = F.when(F.col("used") < F.col("weight"), (F.col("budget") - F.col("spent")) / (F.col("weight") - F.col("used")))
-    rows = rows.withColumn("level", F.max(F.when(level >= F.col("r"), level)).over(everything))
-    first = F.col("budget") / F.col("weight")
-    return rows.select("source", "source_size", F.least("cap", F.col("w") * F.coalesce("level", first)).alias("target"))
+    ranked = numbered(sizes.withColumn("lost", F.col("source").isNull()), ["lost", "source"], "rank")
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    rows = cut(ranked.select("source", "source_size", w.alias("w"), (most * F.col("source_size")).alias("cap")))
+    whole = rows.agg(F.sum("source_size").alias("n"), F.sum("w").alias("w")).first()
+    budget, level, capped = share * (whole["n"] or 0), 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("w") if capped >= 0 else F.lit(False)
+        now = rows.agg(F.sum(F.when(full, F.col("cap"))).alias("spent"), F.sum(F.when(~full, F.col("w"))).alias("open"), F.count(F.when(full, 1)).alias("n")).first()
+        if now["n"] == capped or not now["open"]:
+            level = float("inf") if not now["open"] else level
+            break
+        level, capped = (budget - (now["spent"] or 0.0)) / now["open"], now["n"]
+    aim = F.col("cap") if level == float("inf") else F.least("cap", F.lit(level) * F.col("w"))
+    return rows.select("source", "source_size", aim.alias("target"))
 
 
 def _draw(a: int, b: int, seed: int) -> float:
@@ -126,8 +130,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     docs = cut(documents.select("doc_id", F.xxhash64(F.coalesce("doc_id", F.lit(0)), text_hash(), F.lit(seed)).alias("key"), "source", words().alias("size")))
     sizes = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     n = sizes.agg(F.sum("n")).first()[0] or 0
-    aims = cut(targets(sizes.drop("n"), weights, share, most)).withColumnRenamed("source", "s")
-    aims = F.broadcast(aims) if aims.count() <= BROADCAST_ROWS else aims
+    aims = cut(targets(sizes.drop("n"), weights, share, most).withColumnRenamed("source", "s"))
     x = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(x + TINY)
     buckets = max(1, -(-n // BUCKET))
@@ -146,4 +149,5 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def op3_mixing(documents: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row of documents; hard inputs are treated as by mix."""
     return mix(documents).select("doc_id", "size", "source_size", "target", "taken")
