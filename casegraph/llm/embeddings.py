@@ -3,13 +3,15 @@
 Two codebooks, one for each half of the vectors, form a product grid. A vector is stored in the cell of its nearest
 codewords; as a query it visits cells by growing distance (a multi-sequence traversal: of the sums of two sorted
 lists, those whose ranks' product exceeds the number wanted can't be among the smallest). How many it visits is
-calibrated for the target recall on sample vectors and partners made for them at exactly the threshold. Every pair met is
+calibrated for the target recall on sample vectors and partners made for them at exactly the threshold; there is no
+most, and where the calibration asks for every cell, every pair is compared. Every pair met is
 verified by its cosine in double precision; a pair counts if either side meets the other.
 
-Cells are gathered into blocks of about BLOCK stored vectors; a cell larger than that is split by salts on both
-sides, so a task holds one block of stored vectors and streams its queries. Equal vectors enter once with their
-number. A task counts links and emits a spanning forest, never the pairs. The codebooks come from at most SAMPLE
-vectors; the table of cell sizes is at most CODEWORDS squared.
+Cells are gathered into blocks of about BLOCK stored vectors; a block larger than what a task holds is split by salts on
+both sides, so a task holds its stored vectors (at most about SPLIT_BYTES) and streams its queries. Equal vectors enter
+once with their number. A task counts links and emits a spanning forest, never the pairs. The codebooks come from at most
+SAMPLE vectors and SAMPLE_BYTES bytes; the table of cell sizes is at most CODEWORDS squared. Vectors of different
+width have no cosine: each width has an index of its own, and widths of at most FEW vectors are compared whole.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, discard
 
 THRESHOLD, RECALL = 0.95, 0.99
-SAMPLE, CODEWORDS, PER_CELL, BLOCK, MOST_VISITS = 20_000, 512, 200, 500, 128
+SAMPLE, CODEWORDS, PER_CELL, BLOCK = 20_000, 512, 200, 500
+#: Bytes of the sample and of a task's stored vectors; vectors of a width that needs no index; numbers made at once.
+SAMPLE_BYTES, SPLIT_BYTES, FEW, AT_ONCE = 64 << 20, 4 << 20, 1000, 1 << 22
 
 
 def _usable(v: Column) -> Column:
@@ -75,13 +80,32 @@ class Index:
         da, db = self._halves(x)
         return da.argmin(1) * len(self.b) + db.argmin(1)
 
+    def visits_for(self, q: np.ndarray, partners: np.ndarray, recall: float) -> int:
+        """The least number of visits with which that share of the queries meets its partner; every cell meets all."""
+        every, most, home = len(self.a) * len(self.b), 128, self.cells(partners)[:, None]
+        while most < every:
+            met = (self.nearest(q, most) == home).sum(0).cumsum()
+            if met[-1] >= recall * len(q):
+                return int(np.searchsorted(met, recall * len(q)) + 1)
+            most *= 4
+        if every == 1 or every > 512:
+            return every
+        met = (self.nearest(q, every - 1) == home).sum(0).cumsum()
+        return int(min(every, np.searchsorted(met, recall * len(q)) + 1))
+
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each row, by growing distance."""
+        if n >= len(self.a) * len(self.b):
+            return np.tile(np.arange(len(self.a) * len(self.b)), (len(x), 1))
+        i = np.concatenate([np.full(min(n // (r + 1), len(self.b)), r) for r in range(min(n, len(self.a)))])
+        j = np.concatenate([np.arange(min(n // (r + 1), len(self.b))) for r in range(min(n, len(self.a)))])
+        step = max(1, AT_ONCE // len(i))
+        return np.concatenate([self._nearest(x[s : s + step], n, i, j) for s in range(0, max(1, len(x)), step)])
+
+    def _nearest(self, x: np.ndarray, n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         da, db = self._halves(x)
         oa, ob = np.argsort(da, 1, "stable")[:, :n], np.argsort(db, 1, "stable")[:, :n]
         sa, sb = np.take_along_axis(da, oa, 1), np.take_along_axis(db, ob, 1)
-        stairs = [(i, j) for i in range(sa.shape[1]) for j in range(sb.shape[1]) if (i + 1) * (j + 1) <= n]
-        i, j = np.array(stairs).T
         order = np.argsort(sa[:, i] + sb[:, j], 1, "stable")[:, :n]
         return np.take_along_axis(oa, i[order], 1) * len(self.b) + np.take_along_axis(ob, j[order], 1)
 
@@ -98,9 +122,7 @@ def fit(sample: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float
     away -= (away * q).sum(1, keepdims=True) * q
     away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
     s = threshold * q + (1 - threshold**2) ** 0.5 * away
-    most = min(MOST_VISITS, len(index.a) * len(index.b))
-    met = (index.nearest(q, most) == index.cells(s)[:, None]).sum(0).cumsum()
-    index.visits = int(min(most, np.searchsorted(met, recall * len(q)) + 1))
+    index.visits = index.visits_for(q, s, recall)
     return index
 
 
@@ -108,14 +130,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 2))
 
 
-def _vectors(dims: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = unit(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["rep", "n", "v"])
-
-    return run
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors as bytes, with their width; a batch may hold several widths."""
+    for b in batches:
+        values = b.column(2).flatten().to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+        at, made = np.r_[0, np.cumsum(sizes)], [b""] * b.num_rows
+        for d in np.unique(sizes):
+            rows = np.flatnonzero(sizes == d)
+            for i, r in zip(rows.tolist(), unit(np.stack([values[at[k] : at[k] + d] for k in rows]))):
+                made[i] = r.tobytes()
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(made, pa.binary())], ["node", "n", "width", "v"])
 
 
 def _cells(index: Index):
@@ -176,6 +201,11 @@ class _Block:
     def query(self, rep: np.ndarray, n: np.ndarray, home: np.ndarray, v: np.ndarray, threshold: float, links: list, edges: list) -> None:
         if self.v is None:
             return
+        step = max(1, AT_ONCE // len(self.rep))
+        for s in range(0, len(rep), step):
+            self._query(rep[s : s + step], n[s : s + step], home[s : s + step], v[s : s + step], threshold, links, edges)
+
+    def _query(self, rep: np.ndarray, n: np.ndarray, home: np.ndarray, v: np.ndarray, threshold: float, links: list, edges: list) -> None:
         hit = (v @ self.v.T >= threshold) & (rep[:, None] != self.rep)
         q = np.flatnonzero(hit.any(1))
         if not len(q):
@@ -197,54 +227,41 @@ class _Block:
 
 def _meet(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by task, the stored ones first. Links have b null, edges n null."""
+        """Rows come by width and task, the stored ones first. Links have b null, edges n null."""
         task, block = None, _Block()
         for b in batches:
-            tasks, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            widths, tasks, kinds = (b.column(i).to_numpy() for i in range(3))
             if not len(tasks):
                 continue
             links: list[tuple[int, int]] = []
             edges: list[tuple[int, int]] = []
-            starts = np.flatnonzero(np.r_[True, (tasks[1:] != tasks[:-1]) | (kinds[1:] != kinds[:-1])]).tolist()
+            new = np.r_[True, (widths[1:] != widths[:-1]) | (tasks[1:] != tasks[:-1]) | (kinds[1:] != kinds[:-1])]
+            starts = np.flatnonzero(new).tolist()
             for s, e in zip(starts, [*starts[1:], len(tasks)]):
-                if tasks[s] != task:
-                    task, block = tasks[s], _Block()
+                if (widths[s], tasks[s]) != task:
+                    task, block = (widths[s], tasks[s]), _Block()
                 part = b.slice(s, e - s)
-                rep, n, v = part.column(2).to_numpy(), part.column(3).to_numpy(), _matrix(part.column(6))
+                rep, n, v = part.column(3).to_numpy(), part.column(4).to_numpy(), _matrix(part.column(7))
                 if kinds[s] == 0:
-                    block.store(rep, n, part.column(5).to_pylist(), v)
+                    block.store(rep, n, part.column(6).to_pylist(), v)
                 else:
-                    block.query(rep, n, part.column(4).to_numpy(), v, threshold, links, edges)
+                    block.query(rep, n, part.column(5).to_numpy(), v, threshold, links, edges)
             a = [x for x, _ in links] + [x for x, _ in edges]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([None] * len(links) + [y for _, y in edges], pa.int64()), pa.array([y for _, y in links] + [None] * len(edges), pa.int64())], ["a", "b", "n"])
 
     return run
 
 
-def embedding_links(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """vec_id, n_links, component_id and kept, one row for each row of embeddings.
-
-    Vectors that are null, zero or hold null or non-finite components, and those of another width than most (ties:
-    the wider), link with nothing. Ids may repeat: each row is a vector; a null id is its own component and links with nothing. Other columns are ignored; an
-    empty table gives no rows.
-    """
-    good = _usable(F.col("embedding")) & F.col("vec_id").isNotNull()
-    rows = cut(embeddings.select("vec_id", F.when(good, F.col("embedding")).alias("v")).withColumns({"k1": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "k2": F.when(F.col("v").isNotNull(), F.hash("v"))}))
-    widths = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if widths is None:
-        return alone(rows)
-    dims = widths["d"]
-    usable = F.coalesce(F.size("v") == dims, F.lit(False))
-    classes = rows.where(usable).groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
-    classes = cut(classes)
-    vectors = cut(classes.select("rep", "n", F.col("v").cast("array<double>").alias("v")).mapInArrow(_vectors(dims), "rep long, n long, v binary"))
+def _dealt(vectors: DataFrame, dims: int, threshold: float, recall: float) -> DataFrame:
+    """The stored and query rows of vectors of one width."""
     total = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()
+    most = int(min(SAMPLE, max(64, SAMPLE_BYTES // (8 * dims))))
+    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(most).select("v").collect()
     index = fit(np.array([np.frombuffer(r["v"], np.float64) for r in sample]), total, threshold, recall)
     sizes = np.zeros(len(index.a) * len(index.b), np.int64)
     for r in vectors.select("v").mapInArrow(_cells(index), "cell long").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r["cell"]] = r["n"]
+    split = max(2 * BLOCK, SPLIT_BYTES // (8 * dims))
     index.block, salts, held = np.zeros(len(sizes), np.int64), [1], 0
     for cell, n in enumerate(sizes.tolist()):
         if held and held + n > BLOCK:
@@ -252,22 +269,49 @@ def embedding_links(embeddings: DataFrame, threshold: float = THRESHOLD, recall:
             held = 0
         index.block[cell] = len(salts) - 1
         held += n
-        salts[-1] = max(1, -(-held // (2 * BLOCK)))
+        salts[-1] = max(1, -(-held // split))
     index.salts = np.array(salts)
-    dealt = vectors.mapInArrow(_deal(index), "task long, kind byte, rep long, n long, home int, seen array<int>, v binary")
-    met = cut(dealt.repartition("task").sortWithinPartitions("task", "kind").mapInArrow(_meet(threshold), "a long, b long, n long"))
-    links = met.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    reps = connected_components(met.where("b IS NOT NULL").select("a", "b"))
-    known = cut(_known(classes, links, reps))
-    found = rows.where(usable).select("vec_id", "k1", "k2").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return found.unionByName(alone(rows.where(~usable)))
+    rows = vectors.select("node", "n", "v").mapInArrow(_deal(index), "task long, kind byte, rep long, n long, home int, seen array<int>, v binary")
+    return rows.select(F.lit(dims).alias("width"), "*")
+
 
+def _met(dealt: DataFrame, threshold: float) -> DataFrame:
+    rows = dealt.repartition("width", "task").sortWithinPartitions("width", "task", "kind")
+    return cut(rows.mapInArrow(_meet(threshold), "a long, b long, n long"))
 
-def _known(classes: DataFrame, links: DataFrame, reps: DataFrame) -> DataFrame:
-    named = reps.select(F.col("node").alias("rep"), F.col("rep").alias("least"))
-    both = classes.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(named, "rep", "left")
-    return both.select("k1", "k2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+
+def embedding_links(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """vec_id, n_links, component_id and kept, one row for each row of embeddings.
+
+    Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different width
+    don't link with each other. Ids may repeat or be null: each row is a vector and counts in others' links; a
+    component's id is its smallest that isn't null, and null where all are (those rows are kept). Other columns are
+    ignored; an empty table gives no rows.
+    """
+    rows = embeddings.select("vec_id", F.when(_usable(F.col("embedding")), F.col("embedding")).alias("v"))
+    rows = cut(rows.withColumns({"k1": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "k2": F.when(F.col("v").isNotNull(), F.hash("v"))}))
+    alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    classes = rows.where("v IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    vectors = cut(classes.select("node", "n", F.col("v").cast("array<double>").alias("v")).mapInArrow(_vectors, "node long, n long, width int, v binary"))
+    widths = {r["width"]: r["n"] for r in vectors.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wide = sorted(d for d, n in widths.items() if n > FEW)
+    whole = vectors.where(~F.col("width").isin(wide)) if wide else vectors
+    ones = [F.lit(0).cast("long").alias("task"), F.explode(F.array(F.lit(0), F.lit(1)).cast("array<tinyint>")).alias("kind"), F.col("node").alias("rep"), "n", F.lit(0).alias("home"), F.array(F.lit(0)).alias("seen"), "v"]
+    met = _met(whole.select("width", *ones), threshold)
+    for d in wide:
+        met = met.unionByName(_met(_dealt(vectors.where(F.col("width") == d), d, threshold, recall), threshold))
+    links = met.where("b IS NULL").groupBy(F.col("a").alias("of")).agg(F.sum("n").alias("others"))
+    reps = connected_components(met.where("b IS NOT NULL").select("a", "b"))
+    named = classes.select("node", "k1", "k2", "n", "first").join(reps.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").drop("of")
+    named = cut(named.withColumn("rep", F.coalesce("rep", "node")).join(links, F.col("node") == F.col("of"), "left").drop("of"))
+    least = named.groupBy("rep").agg(F.min("first").alias("component_id"))
+    known = cut(named.join(least, "rep").select("k1", "k2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"))
+    found = rows.where("v IS NOT NULL").select("vec_id", "k1", "k2").join(known, ["k1", "k2"])
+    discard(classes, vectors, named)
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")).unionByName(alone)
 
 
 def op5_embedding_dedup(embeddings: DataFrame) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of embeddings; hard inputs are treated as by embedding_links."""
     return embedding_links(embeddings)
