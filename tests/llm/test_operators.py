@@ -339,22 +339,25 @@ def test_embedding_links(spark, monkeypatch):
     rows = [(i, e, 0) for i, e in enumerate(v)] + [(900, None, 0), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, None), (903, [1.0], 0), (None, v[0], 0), (904, [float("inf")] * 16, 0)]
     got = {r["vec_id"]: r for r in embeddings.op5_embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("k1", F.lit(1))).collect()}
     assert len(got) == len(rows)
-    e = np.array(v, np.float64)
+    # the row without an id is a vector like any other: it counts in others' links, but names no component
+    e = np.array(v + [v[0]], np.float64)
     e /= np.linalg.norm(e, axis=1, keepdims=True)
     link = e @ e.T >= 0.95
     np.fill_diagonal(link, False)
-    n = np.array([got[i]["n_links"] for i in range(len(v))])
+    ids = [*range(len(v)), None]
+    n = np.array([got[i]["n_links"] for i in ids])
     assert (n <= link.sum(1)).all() and n.sum() >= 0.9 * link.sum()
     for i in range(len(v)):
         assert got[i]["component_id"] <= i and got[i]["kept"] == (got[i]["component_id"] == i)
         assert n[i] or got[i]["kept"]
+    assert got[None]["component_id"] == 0 and not got[None]["kept"]
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in (900, 901, 902, 903, 904))
     assert {got[i]["component_id"] for i in range(480, 630)} == {399}
     if n.sum() == link.sum():
         forest = simhash.Forest()
         for a, b in zip(*np.nonzero(link)):
             forest.join(int(a), int(b))
-        assert [got[i]["component_id"] for i in range(len(v))] == [forest.root(i) for i in range(len(v))]
+        assert [got[i]["component_id"] for i in ids] == [forest.root(i) for i in range(len(ids))]
 
 
 def test_embedding_links_of_nothing(spark):
@@ -470,37 +473,86 @@ def test_revisits_hard(spark):
 # -- op 9 --------------------------------------------------------------------------------------------------
 
 
+def diff(a, b):
+    """Positions that a patience diff aligns: equal ends, then lines that both sides hold once, in longest increasing order,
+    then the gaps between them; a gap without such lines is aligned by a longest common subsequence. 0 is no line."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = [(i, i) for i in range(head) if a[i]] + [(len(a) - 1 - i, len(b) - 1 - i) for i in range(tail) if a[len(a) - 1 - i]]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    once = [(i, y.index(h)) for i, h in enumerate(x) if h and x.count(h) == 1 and y.count(h) == 1]
+    if once:
+        # longest increasing subsequences by patience piles, read back from the last pile
+        piles, back = [], {}
+        for i, j in once:
+            k = sum(p[-1][1] < j for p in piles)
+            back[i, j] = piles[k - 1][-1] if k else None
+            piles[k : k + 1] = [(piles[k] if k < len(piles) else []) + [(i, j)]]
+        chain, at = [], piles[-1][-1]
+        while at:
+            chain.append(at)
+            at = back[at]
+        i = j = 0
+        for p, q in [*reversed(chain), (len(x), len(y))]:
+            out += [(head + i + u, head + j + v) for u, v in diff(x[i:p], y[j:q])]
+            out += [(head + p, head + q)] * (p < len(x))
+            i, j = p + 1, q + 1
+    elif x and y:
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, u in enumerate(x):
+            for j, v in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if u == v and u else max(best[i][j + 1], best[i + 1][j])
+        i, j = len(x), len(y)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((head + i, head + j))
+    return sorted(out)
+
+
 def brute_lines(rows):
+    """By document: its lines, the long lines that any earlier document that shares a long line aligns, and all lines of the
+    aligned blocks that hold a long line."""
     bare = lambda x: x.strip("\t\n\x0b\x0c\r ")
     rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
-    lines = {r: (r[1] or "").split("\n") for r in rows}
-    number: dict[str, int] = {}
-    hashed = {r: [number.setdefault(bare(x), len(number) + 1) if bare(x) else 0 for x in lines[r]] for r in rows}
-    anchors = {r: [i for i, x in enumerate(lines[r]) if len(x.split()) >= 5] for r in rows}
-    first = {}
-    for r in rows:
-        for i in anchors[r]:
-            first.setdefault(hashed[r][i], r)
+    lines = [(r[1] or "").split("\n") for r in rows]
+    hashed = [[bare(x) for x in t] for t in lines]
+    long_ = [{x for x, full in zip(h, t) if len(full.split()) >= 5} for h, t in zip(hashed, lines)]
     out = {}
-    for r in rows:
-        gone = set()
-        for p in {first[hashed[r][i]] for i in anchors[r]} - {r}:
-            run, before = [], (-2, -2)
-            for x, y in [*linedup.patience(hashed[p], hashed[r]), (-9, -9)]:
-                if (x, y) != (before[0] + 1, before[1] + 1):
-                    gone |= set(run) if set(run) & set(anchors[r]) else set()
-                    run = []
-                run.append(y)
-                before = (x, y)
-        text = "\n".join(x for i, x in enumerate(lines[r]) if i not in gone)
-        out[r[0]] = (len(lines[r]), len(gone), hashlib.sha256(text.encode()).hexdigest())
+    for k, r in enumerate(rows):
+        anchors, most = {i for i, x in enumerate(lines[k]) if len(x.split()) >= 5}, set()
+        for e in range(k):
+            if long_[e] & long_[k]:
+                run, before = [], (-2, -2)
+                for x, y in [*diff(hashed[e], hashed[k]), (-9, -9)]:
+                    if (x, y) != (before[0] + 1, before[1] + 1):
+                        most |= set(run) if set(run) & anchors else set()
+                        run = []
+                    run.append(y)
+                    before = (x, y)
+        out[r[0]] = (lines[k], most & anchors, most)
     return out
 
 
 def test_line_dedup(spark, docs):
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    """The long lines that go are those of all overlapping pairs; short ones go with some of them."""
+    want = brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    runs = {r["doc_id"]: {i for x in r["runs"] for i in range(x["s"], x["e"])} for r in linedup.deletions(docs).collect()}
+    for i, (lines, long_, most) in want.items():
+        gone = runs.get(i, set())
+        assert long_ <= gone <= most, i
     got = {r["doc_id"]: (r["n_lines"], r["n_deleted"], r["kept_sha256"]) for r in linedup.op9_line_dedup(docs).collect()}
-    assert got == brute_lines(rows) and sum(n for _, n, _ in got.values())
+    kept = lambda i: "\n".join(x for j, x in enumerate(want[i][0]) if j not in runs.get(i, set()))
+    assert got == {i: (len(want[i][0]), len(runs.get(i, set())), hashlib.sha256(kept(i).encode()).hexdigest()) for i in want}
+    assert sum(len(x[1]) for x in want.values())
 
 
 def test_line_dedup_alignment(spark):
