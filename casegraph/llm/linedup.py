@@ -157,7 +157,8 @@ def deletions(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = documents.select("doc_id", text_hash().alias("text_hash"), lines(F.col("text")).alias("l"))
     hashed = docs.select("doc_id", "text_hash", F.transform("l", _line_hash).alias("h"), F.transform("l", lambda x: _long(x, min_words)).alias("k"))
     # rows that repeat id and text are one document here
-    hashed = cut(hashed.select("doc_id", "text_hash", "h", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("k", i)).alias("anchors")).where("size(anchors) > 0"))
+    whole = cut(hashed.select("doc_id", "text_hash", "h", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("k", i)).alias("anchors")))
+    hashed = whole.where("size(anchors) > 0")  # of what is written: a filter before it would hash the lines twice
     key = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")
     held = hashed.select(key.alias("d"), F.explode(F.array_distinct(F.transform("anchors", lambda i: F.get("h", i)))).alias("h"))
     shared = held.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first != last").drop("last")
@@ -205,7 +206,7 @@ def deletions(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 aligned = cut(aligned.unionByName(align(fresh)))
             break
         left = open_
-    discard(hashed, later)
+    discard(whole, later)
     return aligned.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"), F.count(F.lit(1)).alias("partners"))
 
 
