@@ -13,9 +13,9 @@ a bucket sorts its suffixes by multikey quicksort on the tokens and compares nei
   the run lies at the edge of a repeated passage and its windows are compared one by one.
 
 For the edges the bytes that the runs cover are read from the texts, range-partitioned by anchor in the same way, and a
-bucket compares the windows of one anchor byte by byte. Anchors at a bucket's boundary are compared across buckets: the
-windows are counted by hashes of 128 bits with map-side combine, so those of a hot passage may lie in any number of
-buckets. Windows that repeat within a run share the anchor, hence overlap: a run removes one interval.
+bucket compares the windows of one anchor byte by byte. Anchors at a bucket's boundary are compared across buckets too:
+the windows are counted by hashes of 128 bits with map-side combine, so those of a hot passage may lie in any number of
+buckets, and windows outside what the own bucket found ask for the count. Windows that repeat within a run share the anchor, hence overlap: a run removes one interval.
 
 What tells whole runs apart is 128 bits of two independent hashes, not their bytes; everything else is compared exactly.
 """
@@ -215,8 +215,8 @@ def shared_windows(spans: list[bytes], shapes: list[int], ask: list[bool], lengt
 
 def _compared(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor. Runs whose anchor lies within the bucket give the interval [s, e) that they remove; those
-        of its first and last anchor are handed on with their bytes."""
+        """Rows come sorted by anchor. Runs that ask give the interval [s, e) that they lose to others of the bucket; runs of the
+        bucket's first and last anchor are handed on with their bytes too, whether they found one or not."""
         names = ["anchor", "doc_id", "key", "p", "shape", "whole", "span", "s", "e"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
         group: list[tuple] = []
@@ -227,25 +227,26 @@ def _compared(length: int):
             out.clear()
             return batch
 
-        def settle() -> None:
-            if not all(r[5] for r in group) and len(group) > 1:
-                for i, s, e in shared_windows([r[6] for r in group], [r[4] for r in group], [not r[5] for r in group], length):
-                    r = group[i]
-                    out.append((r[0], r[1], r[2], r[3], r[4], r[5], None, r[3] + s, r[3] + e + length))
+        def settle(border: bool) -> None:
+            got = {}
+            if len(group) > 1 and not all(r[5] for r in group):
+                got = {i: (s, e) for i, s, e in shared_windows([r[6] for r in group], [r[4] for r in group], [not r[5] for r in group], length)}
+            for i, r in enumerate(group):
+                if border or i in got:
+                    s, e = got.get(i, (None, None))
+                    out.append((*r[:6], r[6] if border else None, None if s is None else r[3] + s, None if e is None else r[3] + e + length))
+            group.clear()
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
                 leading = r[0] if leading is None else leading
-                if r[0] == leading:
-                    out.append((*r, None, None))
-                else:
-                    if group and group[0][0] != r[0]:
-                        settle()
-                        group.clear()
-                    group.append(r)
-                if len(out) >= ROWS:
-                    yield made()
-        out += [(*r, None, None) for r in group]  # the last anchor
+                if group and group[0][0] != r[0]:
+                    settle(group[0][0] == leading)
+                    if len(out) >= ROWS:
+                        yield made()
+                group.append(r)
+        if group:
+            settle(True)
         if out:
             yield made()
 
@@ -254,7 +255,8 @@ def _compared(length: int):
 
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """128 bits of every window of the runs, and whether it needs an answer."""
+        """128 bits of every window of the runs, and whether it needs an answer: those of whole runs and those between the
+        first and the last that the bucket knows to be shared don't."""
         for b in batches:
             shapes = b.column(4).to_numpy() & 1023
             for lo in range(0, b.num_rows, 2000):
@@ -263,12 +265,15 @@ def _windows(length: int):
                     data = np.frombuffer(b.column(6)[i].as_buffer(), np.uint8)
                     at = np.arange(shapes[i] + 1)
                     one, two = (_of(_prefixes(data, k), k, at, at + length) for k in (0, 1))
-                    out.append((np.full(len(at), i), one.view(np.int64), two.view(np.int64), at))
-                row, one, two, at = map(np.concatenate, zip(*out))
+                    whole, p, s, e = (b.column(k)[i].as_py() for k in (5, 3, 7, 8))
+                    ask = np.full(len(at), not whole)
+                    if s is not None:
+                        ask &= (at + p < s) | (at + p + length > e)
+                    out.append((np.full(len(at), i), one.view(np.int64), two.view(np.int64), at, ask))
+                row, one, two, at, ask = map(np.concatenate, zip(*out))
                 take = pa.array(row)
                 p = b.column(3).take(take)
-                ask = pc.invert(b.column(5).take(take))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), b.column(1).take(take), b.column(2).take(take), p, pc.add(p, pa.array(at)), ask], ["h1", "h2", "doc_id", "key", "p", "w", "ask"])
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), b.column(1).take(take), b.column(2).take(take), p, pc.add(p, pa.array(at)), pa.array(ask)], ["h1", "h2", "doc_id", "key", "p", "w", "ask"])
 
     return run
 
@@ -316,14 +321,15 @@ def repeated_intervals(documents: DataFrame, length: int = LENGTH, gram: int = G
     todo = found.where("edge").groupBy("doc_id", "key").agg(F.collect_set(F.struct("anchor", "p", "shape", "whole")).alias("todo"))
     # rows that repeat id and text count as two: each window of theirs occurs twice
     spans = cut(_with(docs, todo, "inner").select("doc_id", "key", "text", "todo").mapInArrow(_spans(length), _RUN))
-    near = spans.repartitionByRange(max(8, -(-n_edges // EDGES)), "anchor", "doc_id", "key", "p").sortWithinPartitions("anchor")
-    near = cut(near.mapInArrow(_compared(length), f"{_RUN}, s long, e long"))
-    border = near.where("span IS NOT NULL").select(*(x.split()[0] for x in _RUN.split(", ")))
-    windows = cut(border.mapInArrow(_windows(length), "h1 long, h2 long, doc_id long, key long, p long, w long, ask boolean"))
+    # a number of each row, so that rows that repeat fill several buckets
+    near = spans.withColumn("i", F.monotonically_increasing_id()).repartitionByRange(max(8, -(-n_edges // EDGES)), "anchor", "doc_id", "key", "p", "i")
+    near = cut(near.drop("i").sortWithinPartitions("anchor").mapInArrow(_compared(length), f"{_RUN}, s long, e long"))
+    windows = cut(near.where("span IS NOT NULL").mapInArrow(_windows(length), "h1 long, h2 long, doc_id long, key long, p long, w long, ask boolean"))
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("asked")).where("n > 1 AND asked").select("h1", "h2")
     edges = windows.where("ask").join(again, ["h1", "h2"], "left_semi").groupBy("doc_id", "key", "p").agg(F.min("w").alias("s"), (F.max("w") + length).alias("e"))
     whole = found.where("whole").select("doc_id", "key", F.col("p").alias("s"), (F.col("p") + F.expr("shape & 1023") + length).alias("e"))
-    both = whole.unionByName(near.where("span IS NULL").select("doc_id", "key", "s", "e")).unionByName(edges.select("doc_id", "key", "s", "e"))
+    # a run's shared windows hold its anchor, so what its bucket and the others find overlaps
+    both = whole.unionByName(near.where("s IS NOT NULL").select("doc_id", "key", "s", "e")).unionByName(edges.select("doc_id", "key", "s", "e"))
     cuts = cut(both.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("cuts")))
     discard(found, spans, near, windows)
     return cuts
