@@ -8,8 +8,6 @@ from synchronous rounds; the column exact tells.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,49 +27,54 @@ def uniform_share(n: int, isolated: int, rounds: int = ROUNDS, damping: float =
     return out
 
 
-def brandes(neighbours: list[list[int]]) -> np.ndarray:
-    """Betweenness of an unweighted, undirected graph, each pair counted once."""
-    n = len(neighbours)
-    total = np.zeros(n)
-    for s in range(n):
-        order, before = [], [[] for _ in range(n)]
-        paths, far = np.zeros(n), np.full(n, -1)
-        paths[s], far[s] = 1, 0
-        todo = deque([s])
-        while todo:
-            v = todo.popleft()
-            order.append(v)
-            for w in neighbours[v]:
-                if far[w] < 0:
-                    far[w] = far[v] + 1
-                    todo.append(w)
-                if far[w] == far[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        share = np.zeros(n)
-        for w in reversed(order):
-            for v in before[w]:
-                share[v] += paths[v] / paths[w] * (1 + share[w])
-            if w != s:
-                total[w] += share[w]
+def adjacency_rows(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours as compressed rows: those of node v are ends[starts[v] : starts[v + 1]]."""
+    tail, head = np.r_[a, b].astype(np.int64), np.r_[b, a].astype(np.int64)
+    return np.r_[0, np.cumsum(np.bincount(tail, minlength=n))], head[np.argsort(tail, kind="stable")]
+
+
+def betweenness(starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+    """Shortest-path betweenness of an undirected graph, each pair of ends counted once.
+
+    Many sources are searched together: a state is a node seen from a source, and one step takes all states of a level over
+    all their edges. The steps' edges are kept, and dependencies flow back over them level by level.
+    """
+    n = len(starts) - 1
+    total, width = np.zeros(n), max(1, at_once // max(1, n + len(ends)))
+    for lo in range(0, n, width):
+        k = min(n, lo + width) - lo
+        roots = np.arange(lo, lo + k) * k + np.arange(k)
+        met, paths, steps = np.zeros(n * k, bool), np.zeros(n * k), []
+        level, met[roots], paths[roots] = roots, True, 1.0
+        while len(level):
+            node, source = np.divmod(level, k)
+            degree = starts[node + 1] - starts[node]
+            shift = np.repeat(starts[node] - np.r_[0, np.cumsum(degree)[:-1]], degree)
+            there = ends[shift + np.arange(degree.sum())] * k + np.repeat(source, degree)
+            new = ~met[there]
+            here, there = np.repeat(level, degree)[new], there[new]
+            np.add.at(paths, there, paths[here])
+            steps.append((here, there))
+            level = np.unique(there)
+            met[level] = True
+        flow = np.zeros(n * k)
+        for here, there in reversed(steps):
+            np.add.at(flow, here, (1 + flow[there]) * paths[here] / paths[there])
+        flow[roots] = 0
+        total += flow.reshape(n, k).sum(axis=1)
     return total / 2
 
 
-def propagate_labels(neighbours: list[list[int]], sweeps: int = SWEEPS) -> list[int]:
-    """Each node in turn takes its neighbours' most frequent label, of equals the smallest, until nothing changes."""
-    label = list(range(len(neighbours)))
+def communities(starts: np.ndarray, ends: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
+    """Labels after sweeps in which every node in its turn takes the label that most of its neighbours have at that moment,
+    the smallest of equals; they end with the first sweep that changes none."""
+    label = np.arange(len(starts) - 1)
     for _ in range(sweeps):
-        changed = False
-        for v, around in enumerate(neighbours):
-            if not around:
-                continue
-            count: dict[int, int] = {}
-            for w in around:
-                count[label[w]] = count.get(label[w], 0) + 1
-            best = min(count, key=lambda x: (-count[x], x))
-            if best != label[v]:
-                label[v], changed = best, True
-        if not changed:
+        before = label.copy()
+        for v in np.flatnonzero(np.diff(starts)):
+            names, votes = np.unique(label[ends[starts[v] : starts[v + 1]]], return_counts=True)
+            label[v] = names[votes.argmax()]
+        if (label == before).all():
             break
     return label
 
@@ -79,21 +82,16 @@ def propagate_labels(neighbours: list[list[int]], sweeps: int = SWEEPS) -> list[
 def _component(shares: list[float], damping: float, start: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = pdf[pdf["b"].isna()].sort_values(["ord", "a"]).reset_index(drop=True)
-        at = {x: i for i, x in enumerate(nodes["a"])}
+        place = pd.Series(nodes.index, index=nodes["a"])
         pairs = pdf[pdf["b"].notna()]
-        a, b = pairs["a"].map(at).to_numpy(), pairs["b"].map(at).to_numpy()
-        neighbours: list[list[int]] = [[] for _ in at]
-        for x, y in zip(a.tolist(), b.tolist()):
-            neighbours[x].append(y)
-            neighbours[y].append(x)
-        n = len(at)
-        degree = np.array([len(x) for x in neighbours], float)
+        n = len(nodes)
+        starts, ends = adjacency_rows(n, place[pairs["a"]].to_numpy(), place[pairs["b"]].to_numpy())
+        degree = np.diff(starts)
         rank = np.full(n, start)
-        i, j = np.r_[a, b].astype(int), np.r_[b, a].astype(int)
         for share in shares:
-            rank = share + damping * np.bincount(j, rank[i] / degree[i], n)
-        label = propagate_labels(neighbours)
-        return pd.DataFrame({"id": nodes["a"], "betweenness_raw": brandes(neighbours), "rank": rank, "label": nodes["a"].to_numpy()[label], "exact": True})
+            rank = share + damping * np.bincount(ends, np.repeat(rank / degree, degree), n)
+        label = communities(starts, ends)
+        return pd.DataFrame({"id": nodes["a"], "betweenness_raw": betweenness(starts, ends), "rank": rank, "label": nodes["a"].to_numpy()[label], "exact": True})
 
     return run
 
@@ -210,3 +208,18 @@ def predicted_edges(predictions: DataFrame) -> DataFrame:
     """Predictions as predicted_link edges; confidence grows from 0.3 to 0.7 with the score."""
     top = predictions.agg(F.max("score").alias("top"))
     return predictions.join(F.broadcast(top)).select(F.col("a").alias("source_id"), F.lit("predicted_link").alias("rel_type"), F.col("b").alias("target_id"), (0.3 + 0.4 * F.coalesce(F.try_divide("score", "top"), F.lit(0.0))).alias("confidence"), F.lit("predicted").alias("source_reference"), F.col("common").cast("string").alias("ord"))
+
+
+def write_metrics(entities: DataFrame, metrics: DataFrame) -> DataFrame:
+    """entities with the attributes betweenness and pagerank (three decimals) and community, and the tag broker on the top
+    broker. Entities without metrics stay as they are."""
+    m = metrics.select(F.col("id").alias("m_id"), "betweenness", "pagerank", "community")
+    top = top_broker(metrics).select(F.col("id").alias("t_id"))
+    j = entities.join(m, F.col("id") == F.col("m_id"), "left").join(F.broadcast(top), F.col("id") == F.col("t_id"), "left")
+    values = F.create_map(
+        F.lit("betweenness"), F.format_string("%.3f", "betweenness"), F.lit("pagerank"), F.format_string("%.3f", "pagerank"), F.lit("community"), F.col("community").cast("string"),
+    )
+    old = F.map_filter("attributes", lambda k, _: ~k.isin("betweenness", "pagerank", "community"))
+    attributes = F.when(F.col("m_id").isNull(), F.col("attributes")).otherwise(F.map_concat(old, values))
+    tags = F.when(F.col("t_id").isNull(), F.col("tags")).otherwise(F.array_union("tags", F.array(F.lit("broker"))))
+    return j.withColumns({"attributes": attributes, "tags": tags}).select(*entities.columns)
