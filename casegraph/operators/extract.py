@@ -44,9 +44,17 @@ LINKS = (
 _ENTITY = "array<struct<kind:string,label:string,attributes:map<string,string>,source:string,document:string>>"
 
 
+def lowered(fields: Column) -> Column:
+    """The field map with lower-case keys; of keys that differ in case only, the first stays."""
+    entries = F.map_entries(fields)
+    keys = F.transform(entries, lambda e: F.lower(e["key"]))
+    first = F.filter(entries, lambda e, i: F.array_position(keys, F.lower(e["key"])) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
 def get_any(fields: Column, *keys: str) -> Column:
     """The value of the first of keys that the field map has, whatever the case."""
-    low = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(fields), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    low = lowered(fields)
     return F.coalesce(*(F.try_element_at(low, F.lit(k)) for k in keys))
 
 
@@ -82,7 +90,7 @@ def extract_entities(records: DataFrame, mappings: list[tuple[str, str]] = (), d
     accounts with an address its domain. An entity of the same kind and label appears once in a record. A document number in the
     record tells entities of document_kinds apart that share a label.
     """
-    low = F.map_from_entries(F.transform(F.map_entries("fields"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    low = lowered(F.col("fields"))
     rows = _computed(records, F.struct("batch_no", "index").alias("record"), F.concat_ws("#", "origin", F.col("index").cast("string")).alias("origin"), F.col("fields"), low.alias("low"))
     got = lambda *keys: F.coalesce(*(F.try_element_at("low", F.lit(k)) for k in keys))
     empty = F.create_map().cast(MAP)
@@ -100,6 +108,11 @@ def extract_entities(records: DataFrame, mappings: list[tuple[str, str]] = (), d
     number = got(*DOCUMENT_KEYS)
     document = F.lower(F.regexp_replace(F.coalesce(number, F.lit("")), "[^A-Za-z0-9]", ""))
     kept = _gap(F.map_filter("low", lambda k, v: k.isin(*ATTRIBUTES)), _some(document_id=F.when(document != "", F.trim(number))))
+    # coordinates and described properties fill gaps
+    x, y = got("geometry.coordinates.0", "coordinates.0", "lon", "longitude"), got("geometry.coordinates.1", "coordinates.1", "lat", "latitude")
+    both = x.isNotNull() & y.isNotNull() & ~F.map_contains_key("low", "latitude")
+    lifted = {"longitude": F.when(both, x), "latitude": F.when(both, y)}
+    kept = _gap(kept, _some(**lifted, **{k: got(f"properties.{k}") for k in ("name", "type", "category", "operator", "description")}))
     phash = F.nullif(F.lower(F.trim(got("perceptual_hash", "phash", "p_hash"))), F.lit(""))
 
     def declared(h: Column) -> Column:
@@ -148,10 +161,10 @@ def infer_links(extracted: DataFrame) -> DataFrame:
     return out.unionByName(mail)
 
 
-def profile_columns(cells: DataFrame, sample: int = 400) -> DataFrame:
-    """One row for each column of cells (row, pos, name, value), over the first `sample` rows: semantic, confidence,
-    uniqueness, non_empty, kind, is_primary. Ties between classes go to the one that is tested first."""
-    first = cells.where(F.col("row") < sample)
+def profile_columns(cells: DataFrame, sample: int | None = 400) -> DataFrame:
+    """One row for each column of cells (row, pos, name, value), over the first `sample` rows in the order of row, or all:
+    semantic, confidence, uniqueness, non_empty, kind, is_primary. Ties between classes go to the one that is tested first."""
+    first = cells if sample is None else cells.join(F.broadcast(cells.select("row").distinct().orderBy("row").limit(sample)), "row", "left_semi")
     typed = first.select("name", "pos", "value", classify_value(F.col("value")).alias("type")).where("type != 'empty'")
     order = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("type"))
     counts = typed.groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))

@@ -151,7 +151,7 @@ def q_classify_values(s, d):
 
 
 @query("q_profile_columns", f"""
-WITH r AS (SELECT * FROM customer WHERE c_custkey < 400), c AS (SELECT 0 AS pos, 'c_name' AS name, c_name AS v FROM r UNION ALL SELECT 1, 'c_nationkey', c_nationkey::VARCHAR FROM r UNION ALL SELECT 2, 'c_mktsegment', c_mktsegment FROM r),
+WITH r AS (SELECT * FROM customer), c AS (SELECT 0 AS pos, 'c_name' AS name, c_name AS v FROM r UNION ALL SELECT 1, 'c_nationkey', c_nationkey::VARCHAR FROM r UNION ALL SELECT 2, 'c_mktsegment', c_mktsegment FROM r),
 t AS (SELECT name, pos, v, {_CLASS} AS k FROM {_fill(_CLASSIFIED, src='c')}), n AS (SELECT name, pos, k, count(*) AS n FROM t GROUP BY ALL), w AS (SELECT name, pos, arg_max(k, n) AS winner, max(n) AS top, sum(n) AS non_empty FROM n GROUP BY ALL),
 u AS (SELECT name, count(DISTINCT lower(v)) AS d FROM t GROUP BY name), p AS (SELECT name, pos, winner, top / non_empty AS confidence, d / non_empty AS uniqueness, non_empty::BIGINT AS non_empty FROM w JOIN u USING (name)),
 z AS (SELECT *, CASE WHEN regexp_matches(name, 'nation') AND false THEN winner WHEN winner = 'free_text' AND uniqueness < 0.15 AND non_empty > 10 THEN 'categorical' WHEN winner = 'free_text' AND contains(name, 'name') THEN 'person_name' ELSE winner END AS semantic FROM p)
@@ -160,7 +160,7 @@ SELECT name, semantic, round(confidence, 6) AS confidence, round(uniqueness, 6)
 """)
 def q_profile_columns(s, d):
     c = table(s, d, "customer").select(F.col("c_custkey").alias("row"), "c_name", "c_nationkey", "c_mktsegment")
-    p = extract.profile_columns(extract.cells_of(c, "row"))
+    p = extract.profile_columns(extract.cells_of(c, "row"), sample=None)
     return p.select("name", "semantic", F.round("confidence", 6).alias("confidence"), F.round("uniqueness", 6).alias("uniqueness"), "non_empty", "kind", "is_primary")
 
 
