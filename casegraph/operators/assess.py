@@ -11,9 +11,9 @@ HUB_KINDS = ("ip", "device", "wallet", "domain", "group")
 BUCKETS = {"person": "persons", "victim": "victims", "suspect": "suspects", "account": "accounts", "device": "devices", "ip": "ips", "url": "urls", "domain": "urls", "group": "groups", "payment": "payments", "wallet": "payments", "media": "media_artifacts", "evidence": "media_artifacts"}
 #: Wording by language: rule -> template; {} are filled in order.
 WORDS = {
-    "en": {"posture": "Overall case risk is %s (%.2f).", "hub": "%d entities meet at the %s \"%s\".", "risk": "Risk is concentrated in %d: %s.", "collision": "%d entities share kind and label with another.", "exact": "%d files are exactly known to %s.", "perceptual": "%d files are close to material known to %s.", "broker": "\"%s\" links parts of the network (betweenness %.2f).", "communities": "The network falls into %d communities.", "anomaly": "%d entities stand out, most of all \"%s\".", "predicted": "%d links are likely but absent, first \"%s\" and \"%s\"."},
-    "pt": {"posture": "O risco geral do caso é %s (%.2f).", "hub": "%d entidades se encontram no %s \"%s\".", "risk": "O risco se concentra em %d: %s.", "collision": "%d entidades repetem tipo e rótulo de outra.", "exact": "%d arquivos constam exatamente em %s.", "perceptual": "%d arquivos são próximos de material de %s.", "broker": "\"%s\" liga partes da rede (intermediação %.2f).", "communities": "A rede se divide em %d comunidades.", "anomaly": "%d entidades destoam, sobretudo \"%s\".", "predicted": "%d vínculos são prováveis mas ausentes, primeiro \"%s\" e \"%s\"."},
-    "es": {"posture": "El riesgo general del caso es %s (%.2f).", "hub": "%d entidades coinciden en el %s \"%s\".", "risk": "El riesgo se concentra en %d: %s.", "collision": "%d entidades repiten tipo y etiqueta de otra.", "exact": "%d archivos constan exactamente en %s.", "perceptual": "%d archivos se acercan a material de %s.", "broker": "\"%s\" une partes de la red (intermediación %.2f).", "communities": "La red se divide en %d comunidades.", "anomaly": "%d entidades se desvían, sobre todo \"%s\".", "predicted": "%d enlaces son probables pero ausentes, primero \"%s\" y \"%s\"."},
+    "en": {"posture": "Overall case risk is %s (%.2f).", "hub": "%d entities meet at the %s \"%s\".", "risk": "%d entities carry most of the risk: %s.", "collision": "%d entities share kind and label with another.", "exact": "%d files are exactly known to %s.", "perceptual": "%d files are close to material known to %s.", "broker": "\"%s\" links parts of the network (betweenness %.2f).", "communities": "The network falls into %d communities.", "anomaly": "%d entities stand out, most of all \"%s\".", "predicted": "%d links are likely but absent, first \"%s\" and \"%s\"."},
+    "pt": {"posture": "O risco geral do caso é %s (%.2f).", "hub": "%d entidades se encontram no %s \"%s\".", "risk": "A maior parte do risco vem de %d: %s.", "collision": "%d entidades repetem tipo e rótulo de outra.", "exact": "%d arquivos constam exatamente em %s.", "perceptual": "%d arquivos são próximos de material de %s.", "broker": "\"%s\" liga partes da rede (intermediação %.2f).", "communities": "A rede se divide em %d comunidades.", "anomaly": "%d entidades destoam, sobretudo \"%s\".", "predicted": "%d vínculos são prováveis mas ausentes, primeiro \"%s\" e \"%s\"."},
+    "es": {"posture": "El riesgo general del caso es %s (%.2f).", "hub": "%d entidades coinciden en el %s \"%s\".", "risk": "%d entidades reúnen casi todo el riesgo: %s.", "collision": "%d entidades repiten tipo y etiqueta de otra.", "exact": "%d archivos constan exactamente en %s.", "perceptual": "%d archivos se acercan a material de %s.", "broker": "\"%s\" une partes de la red (intermediación %.2f).", "communities": "La red se divide en %d comunidades.", "anomaly": "%d entidades se desvían, sobre todo \"%s\".", "predicted": "%d enlaces son probables pero ausentes, primero \"%s\" y \"%s\"."},
 }
 
 

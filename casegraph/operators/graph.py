@@ -10,20 +10,45 @@ from ..functions.text import normalize_key
 MAP, STRINGS = "map<string,string>", "array<string>"
 
 # Other spellings of the kinds, and the bands' lower bounds.
-KINDS = ("case", "report", "person", "victim", "suspect", "account", "device", "ip", "url", "domain", "media", "evidence", "communication", "group", "payment", "wallet", "location", "organization", "malware", "vulnerability", "incident", "service", "repository", "aircraft", "vessel", "facility", "sensor", "selector", "unknown")
+KINDS = (
+    "case", "report", "person", "victim", "suspect", "account", "device", "ip", "url",
+    "domain", "media", "evidence", "communication", "group", "payment", "wallet", "location", "organization",
+    "malware", "vulnerability", "incident", "service", "repository", "aircraft", "vessel", "facility", "sensor",
+    "selector", "unknown",
+)
 ALIASES = {
-    "report": "tip complaint", "person": "individual people", "suspect": "offender actor threat_actor", "account": "profile user username handle", "device": "host endpoint",
-    "ip": "ip_address ipv4 ipv6", "url": "link uri", "domain": "hostname fqdn", "media": "file image video audio document", "evidence": "exhibit artifact",
-    "communication": "message chat email", "group": "channel community server", "payment": "transaction transfer", "wallet": "crypto_wallet address", "location": "place geo",
-    "organization": "org company merchant", "malware": "sample payload", "vulnerability": "cve vuln", "incident": "event alert", "service": "cloud_service saas",
-    "repository": "repo github", "aircraft": "flight airplane plane uav drone", "vessel": "ship boat maritime", "facility": "asset site base unit installation cctv camera",
-    "sensor": "feed camera_feed", "selector": "imei imsi msisdn phone",
-}
+    "report": ("tip", "complaint"),
+    "person": ("individual", "people"),
+    "suspect": ("offender", "actor", "threat_actor"),
+    "account": ("profile", "user", "username", "handle"),
+    "device": ("host", "endpoint"),
+    "ip": ("ip_address", "ipv4", "ipv6"),
+    "url": ("link", "uri"),
+    "domain": ("hostname", "fqdn"),
+    "media": ("file", "image", "video", "audio", "document"),
+    "evidence": ("exhibit", "artifact"),
+    "communication": ("message", "chat", "email"),
+    "group": ("channel", "community", "server"),
+    "payment": ("transaction", "transfer"),
+    "wallet": ("crypto_wallet", "address"),
+    "location": ("place", "geo"),
+    "organization": ("org", "company", "merchant"),
+    "malware": ("sample", "payload"),
+    "vulnerability": ("cve", "vuln"),
+    "incident": ("event", "alert"),
+    "service": ("cloud_service", "saas"),
+    "repository": ("repo", "github"),
+    "aircraft": ("flight", "airplane", "plane", "uav", "drone"),
+    "vessel": ("ship", "boat", "maritime"),
+    "facility": ("asset", "site", "base", "unit", "installation", "cctv", "camera"),
+    "sensor": ("feed", "camera_feed"),
+    "selector": ("imei", "imsi", "msisdn", "phone"),
+}
 BANDS = (("critical", 0.85), ("high", 0.60), ("medium", 0.35))
 
 
 def parse_kind(c: Column) -> Column:
-    names = {k: k for k in KINDS} | {a: k for k, aliases in ALIASES.items() for a in aliases.split()}
+    names = {k: k for k in KINDS} | {a: k for k, aliases in ALIASES.items() for a in aliases}
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.lower(F.trim(c))), F.lit("unknown"))
 
 

@@ -128,7 +128,7 @@ def q_anomaly_mad(s, d):
     return risk.detect_anomalies(_event_features(s, d)).select("id", "score")
 
 
-@query("q_off_hours", f"WITH {_FEATURES} SELECT label, printf('activity at %02d:00 (off-hours)', h) AS reason FROM ft WHERE h <= 5")
+@query("q_off_hours", f"WITH {_FEATURES} SELECT label, printf('seen at night, %02d h', h) AS reason FROM ft WHERE h <= 5")
 def q_off_hours(s, d):
     f = _event_features(s, d).withColumns({c: F.lit(0.0) for c in ("degree", "sources")})
     out = risk.detect_anomalies(f).select("id", "reason")
