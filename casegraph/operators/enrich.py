@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +85,38 @@ def match_perceptual(items: DataFrame, refs: DataFrame, most: int = 10) -> DataF
     return best.select("id", "m.source", "m.category", "m.severity", "m.distance", (1 - F.col("m.distance") / F.col("m.n")).alias("similarity"))
 
 
+def nearest_perceptual(items: DataFrame, refs: DataFrame, at_once: int = 100_000) -> DataFrame:
+    """(id, distance): the fewest bits in which each item (id, hash) differs from a perceptual feed value of its length, however
+    many; what calibration reads. A feed is compared in blocks of at_once values, one aggregate a block."""
+    clean = lambda c: F.regexp_replace(F.lower(F.trim(c)), "^0x", "")
+    hexa = lambda df: df.where(F.regexp_like("h", F.lit("^([0-9a-f]{2})+$")))
+    known = hexa(refs.where("kind = 'perceptual'").select(clean("value").alias("h"))).distinct()
+    blocks = max(1, -(-known.count() // at_once))
+    rows, out = hexa(items.select("id", clean("hash").alias("h"))), None
+    for i in range(blocks):
+        feed = [r["h"] for r in known.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == i).collect()]
+        part = rows.mapInPandas(_closest(feed), "id string, distance long")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("id").agg(F.min("distance").alias("distance"))
+
+
+def _closest(feed: list[str]):
+    bits = lambda hexes: np.frombuffer(bytes.fromhex("".join(hexes)), np.uint8).reshape(len(hexes), -1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_length: dict[int, list[str]] = {}
+        for x in feed:
+            by_length.setdefault(len(x), []).append(x)
+        known = {n: bits(v) for n, v in by_length.items()}
+        for pdf in batches:
+            for n, own in pdf.groupby(pdf["h"].str.len()):
+                if n in known:
+                    least = [int(np.bitwise_count(known[n] ^ row).sum(axis=1).min()) for row in bits(own["h"].tolist())]
+                    yield pd.DataFrame({"id": own["id"].astype(str).to_numpy(), "distance": least})
+
+    return run
+
+
 def match_refs(entities: DataFrame, refs: DataFrame, most: int = 10) -> DataFrame:
     """(id, source, category, severity, match, similarity): an exact match wins over a perceptual one."""
     at = lambda k: F.try_element_at("attributes", F.lit(k))
