@@ -159,6 +159,26 @@ def fill_placeholders(template: str, values: dict[str, str]) -> str:
     return template
 
 
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Feed groups (source, category, severity, kind, values, ord) of a JSON file or a folder of them, in the order of their
+    paths: a file holds one group or a list. Files that aren't JSON, or hold something else, are left out."""
+    group = "struct<source:string,category:string,severity:string,kind:string,values:array<string>>"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path", F.decode("content", "UTF-8").alias("t"))
+    many = F.from_json("t", f"array<{group}>")  # a single object is read as a list of one
+    rows = files.select("path", F.posexplode(many).alias("pos", "g")).where("g.source IS NOT NULL AND g.category IS NOT NULL AND g.values IS NOT NULL")
+    return rows.select("g.*", F.struct("path", "pos").alias("ord"))
+
+
+def profile_source(spark: SparkSession, path: str, sample: int = 400) -> DataFrame:
+    """One row for each column of a file's records: row_count and the column's profile over its first rows."""
+    from ..operators.extract import profile_columns
+
+    records = read_source(spark, path)
+    cells = records.select(F.col("index").alias("row"), F.posexplode("field_order").alias("pos", "name"), "fields").select("row", "pos", "name", F.try_element_at("fields", F.col("name")).alias("value"))
+    count = records.agg(F.count(F.lit(1)).alias("row_count"))
+    return profile_columns(cells, sample).crossJoin(F.broadcast(count))
+
+
 def source_kinds(spark: SparkSession, path: str) -> DataFrame:
     """(type, files) of a folder, media counted by type."""
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +276,101 @@ def test_streaming_batches(spark, tmp_path):
     seen = []
     stream.each_batch(stream.windowed_activity(df), str(tmp_path / "ck"), lambda b, i: seen.extend(b.collect())).awaitTermination(60)
     assert (seen[0]["n"], seen[0]["total"]) == (2, 3.0)  # the last window is still open
+
+
+def test_keys_that_differ_in_case(spark):
+    # a map made of columns keeps their order
+    fields = ("Name", "Ann Lee"), ("name", "Bo Ray"), ("NAME", "Cy"), ("lon", "2.5"), ("lat", "1.5"), ("properties.operator", "acme")
+    r = records(spark, {}).withColumn("fields", F.create_map(*(F.lit(x) for kv in fields for x in kv)))
+    assert r.select(extract.get_any(F.col("fields"), "name").alias("v")).first()["v"] == "Ann Lee"
+    x = extract.extract_entities(r).where("kind = 'person'").collect()
+    assert [(e["label"], e["attributes"]["longitude"], e["attributes"]["latitude"], e["attributes"]["operator"]) for e in x] == [("Ann Lee", "2.5", "1.5", "acme")]
+
+
+def test_profile_takes_the_first_rows(spark):
+    cells = spark.createDataFrame([(1000 + i, 0, "box", f"a{i}@mail.example" if i < 5 else "free words here") for i in range(20)], "row long, pos int, name string, value string")
+    assert extract.profile_columns(cells, 5).first()["semantic"] == "email" and extract.profile_columns(cells, 5).first()["non_empty"] == 5
+    assert extract.profile_columns(cells, None).first()["non_empty"] == 20
+
+
+def test_betweenness_by_levels():
+    """Against all shortest paths, enumerated."""
+    import itertools
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 6, 9):
+        pairs = [p for p in itertools.combinations(range(n), 2) if rng.random() < 0.4]
+        near = {v: {w for p in pairs for w in p if v in p and w != v} for v in range(n)}
+        want = np.zeros(n)
+        for s, t in itertools.combinations(range(n), 2):
+            paths, front = [], [[s]]
+            while front and not paths:
+                paths = [p for p in front if p[-1] == t]
+                front = [p + [w] for p in front for w in near[p[-1]] if w not in p]
+            for p in paths:
+                want[p[1:-1]] += 1 / len(paths)
+        a, b = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
+        starts, ends = network.adjacency_rows(n, a, b)
+        for at_once in (1, 1 << 22):
+            assert np.allclose(network.betweenness(starts, ends, at_once), want)
+
+
+def test_nearest_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(transforms, "QUERY_BYTES", 200)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(60, 5))
+    v[7] = v[3]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(100, None), (101, [0.0] * 5), (102, [1.0])]
+    pool = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = transforms.nearest(pool.where("id % 6 = 0 AND id < 60").selectExpr("id AS q_id", "vec AS q_vec"), pool, 0.0, 3).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 60, 6):
+        sims = sorted(((-round(float(u[q] @ u[i]), 9), i) for i in range(60) if i != q))[:3]
+        mine = sorted((r["rank"], r["id"]) for r in got if r["q_id"] == q)
+        assert [i for _, i in mine] == [i for s, i in sims if s <= 0]
+
+
+def test_nearest_perceptual(spark):
+    refs = spark.createDataFrame([("ff00", "perceptual"), ("0x0001", "perceptual"), ("ff", "perceptual"), ("zz", "perceptual"), ("0000", "hash")], "value string, kind string")
+    items = spark.createDataFrame([("a", "FF01"), ("b", "0000"), ("c", "abc"), ("d", "00"), ("e", "00000000")], "id string, hash string")
+    for at_once in (100, 1):
+        assert {r["id"]: r["distance"] for r in enrich.nearest_perceptual(items, refs, at_once).collect()} == {"a": 1, "b": 1, "d": 8}
+
+
+def test_feeds_and_profiles_of_files(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"source": "s2", "category": "c", "values": ["AA"]}')
+    (tmp_path / "a.json").write_text('[{"source": "s1", "category": "c", "kind": "perceptual", "severity": "low", "values": ["ff00", " "]}, {"source": "s1", "category": "d", "values": ["aa"]}]')
+    (tmp_path / "c.json").write_text("not json at all {")
+    got = {(r["value"], r["kind"]): (r["source"], r["severity"]) for r in enrich.load_refs(readers.read_feeds(spark, str(tmp_path))).collect()}
+    assert got == {("ff00", "perceptual"): ("s1", "low"), ("aa", "hash"): ("s2", "high")}
+    (tmp_path / "t.csv").write_text("who,box\nAnn Lee,ann@mail.example\nBo Ray,bo@mail.example\n")
+    rows = {r["name"]: r for r in readers.profile_source(spark, str(tmp_path / "t.csv")).collect()}
+    assert rows["box"]["semantic"] == "email" and rows["box"]["row_count"] == 2
+
+
+def test_a_case_end_to_end(spark, tmp_path):
+    from casegraph.operators.run import run_case
+    from casegraph.sources import report
+
+    rows = [
+        {"report_id": "r1", "person_id": "p1", "full_name": "Ann Lee", "username": "ann77", "ip_address": "10.0.0.1", "full_url": "https://a.shop.example/x", "sha256": "a" * 32, "timestamp": "2026-01-05T02:11:00Z"},
+        {"report_id": "r2", "person_id": "p2", "full_name": "Bo Ray", "username": "bo_ray", "ip_address": "10.0.0.1", "full_url": "https://b.shop.example/y", "sha256": "b" * 32, "timestamp": "2026-01-05T02:15:00Z"},
+        {"report_id": "r3", "full_name": "Cy Dahl", "username": "ann77", "ip_address": "10.0.0.9", "urgency_level": "active"},
+    ]
+    refs = enrich.load_refs(spark.createDataFrame([("feed", "known", "critical", "hash", ["A" * 32], 0)], "source string, category string, severity string, kind string, values array<string>, ord int"))
+    case = run_case(records(spark, *rows), refs)
+    e = {(r["kind"], r["label"]): r for r in case.entities.collect()}
+    assert ("domain", "shop.example") in e and e["ip", "10.0.0.1"]["attributes"]["ip_scope"] == "private"
+    assert any("known-file-hash" in r["tags"] for r in e.values()) and sum("broker" in r["tags"] for r in e.values()) == 1
+    assert all("pagerank" in r["attributes"] for r in e.values())
+    rel = {r["rel_type"] for r in case.edges.collect()}
+    assert {"belongs_to_domain", "logged_in_from_ip"} <= rel and any(x.startswith(("shares", "shared", "co_")) for x in rel)
+    assert case.risk.count() == len(e) and case.findings.count() >= 2 and case.case.count() == 1
+    written = report.write_case(case, str(tmp_path / "out"), "pt")
+    assert len(written) == 10
+    entities, edges = report.load_graph(spark, str(tmp_path / "out"))
+    assert {(r["id"], r["label"]) for r in entities.collect()} == {(r["id"], r["label"]) for r in e.values()} and edges.count() == case.edges.count()
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out" / "brief")).collect())
+    assert "# Resumo do caso" in text and "Ann Lee" in text
+    none = run_case(records(spark).limit(0))
+    assert none.entities.count() == 0 and none.risk.count() == 0
