@@ -14,8 +14,8 @@ a bucket sorts its suffixes by multikey quicksort on the tokens and compares nei
 
 For the edges the bytes that the runs cover are read from the texts, range-partitioned by anchor in the same way, and a
 bucket compares the windows of one anchor byte by byte. Anchors at a bucket's boundary are compared across buckets too:
-the windows are counted by hashes of 128 bits with map-side combine, so those of a hot passage may lie in any number of
-buckets, and windows outside what the own bucket found ask for the count. Windows that repeat within a run share the anchor, hence overlap: a run removes one interval.
+windows outside what the own bucket found ask, by hashes of 128 bits, and each bucket sends one of a kind of those that
+may answer, so that a hot passage's runs may lie in any number of buckets. Windows that repeat within a run share the anchor, hence overlap: a run removes one interval.
 
 What tells whole runs apart is 128 bits of two independent hashes, not their bytes; everything else is compared exactly.
 """
@@ -36,8 +36,8 @@ from .common import cut, discard, text_hash
 LENGTH, GRAM = 200, 104
 #: Suffixes in a bucket and edge runs in one, about; bytes of a text that are hashed at once; the tokens' salts.
 BUCKET, EDGES, CHUNK, SALTS = 400_000, 20_000, 1 << 19, 64
-#: Rows that a task yields at once.
-ROWS = 20_000
+#: Rows that a task yields at once, and windows of a part in which they are compared across buckets.
+ROWS, WINDOWS = 20_000, 1 << 21
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _rng = np.random.default_rng(20)
@@ -253,10 +253,14 @@ def _compared(length: int):
     return run
 
 
-def _windows(length: int):
+_BLOCK = "part int, h1 array<long>, h2 array<long>, doc_id array<long>, key array<long>, p array<long>, w array<long>, ask array<boolean>"
+
+
+def _windows(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """128 bits of every window of the runs, and whether it needs an answer: those of whole runs and those between the
-        first and the last that the bucket knows to be shared don't."""
+        """128 bits of the runs' windows, in one row for each part that the hashes are dealt to. Windows ask, but for those of
+        whole runs and those between the first and the last that the bucket knows to be shared; of the latter, which only
+        answer, one of a kind is enough."""
         for b in batches:
             shapes = b.column(4).to_numpy() & 1023
             for lo in range(0, b.num_rows, 2000):
@@ -271,13 +275,48 @@ def _windows(length: int):
                         ask &= (at + p < s) | (at + p + length > e)
                     out.append((np.full(len(at), i), one.view(np.int64), two.view(np.int64), at, ask))
                 row, one, two, at, ask = map(np.concatenate, zip(*out))
-                take = pa.array(row)
+                quiet = np.flatnonzero(~ask)
+                _, kinds = np.unique(np.column_stack([one[quiet], two[quiet]]), axis=0, return_index=True)
+                keep = np.r_[np.flatnonzero(ask), quiet[kinds]]
+                part = (one[keep].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                keep, part = keep[order], part[order]
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                ends = pa.array(np.r_[starts, len(part)].astype(np.int32))
+                take = pa.array(row[keep])
                 p = b.column(3).take(take)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), b.column(1).take(take), b.column(2).take(take), p, pc.add(p, pa.array(at)), pa.array(ask)], ["h1", "h2", "doc_id", "key", "p", "w", "ask"])
+                cols = [pa.array(one[keep]), pa.array(two[keep]), b.column(1).take(take), b.column(2).take(take), p, pc.add(p, pa.array(at[keep])), pa.array(ask[keep])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), *(pa.ListArray.from_arrays(ends, c) for c in cols)], [x.split()[0] for x in _BLOCK.split(", ")])
 
     return run
 
 
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part: the windows that ask and whose hashes another window has."""
+    part, held = None, []
+
+    def settle() -> pa.RecordBatch:
+        one, two, doc_id, key, p, w, ask = (pa.concat_arrays([h.column(i).flatten() for h in held]) for i in range(1, 8))
+        a, b = one.to_numpy(), two.to_numpy()
+        order = np.lexsort([b, a])
+        new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
+        alike = np.diff(np.r_[np.flatnonzero(new), len(order)])[np.cumsum(new) - 1]
+        take = pa.array(order[(alike > 1) & ask.to_numpy(zero_copy_only=False)[order]])
+        return pa.RecordBatch.from_arrays([x.take(take) for x in (doc_id, key, p, w)], ["doc_id", "key", "p", "w"])
+
+    for b in batches:
+        parts = b.column(0).to_numpy()
+        starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if len(parts) else []
+        for s, e in zip(starts, [*starts[1:], len(parts)]):
+            if parts[s] != part and held:
+                yield settle()
+                held = []
+            part = parts[s]
+            held.append(b.slice(s, e - s))
+    if held:
+        yield settle()
+
+
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, gone, spans, digest = [], [], [], []
@@ -324,14 +363,15 @@ def repeated_intervals(documents: DataFrame, length: int = LENGTH, gram: int = G
     # a number of each row, so that rows that repeat fill several buckets
     near = spans.withColumn("i", F.monotonically_increasing_id()).repartitionByRange(max(8, -(-n_edges // EDGES)), "anchor", "doc_id", "key", "p", "i")
     near = cut(near.drop("i").sortWithinPartitions("anchor").mapInArrow(_compared(length), f"{_RUN}, s long, e long"))
-    windows = cut(near.where("span IS NOT NULL").mapInArrow(_windows(length), "h1 long, h2 long, doc_id long, key long, p long, w long, ask boolean"))
-    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("asked")).where("n > 1 AND asked").select("h1", "h2")
-    edges = windows.where("ask").join(again, ["h1", "h2"], "left_semi").groupBy("doc_id", "key", "p").agg(F.min("w").alias("s"), (F.max("w") + length).alias("e"))
+    border = near.where("span IS NOT NULL")
+    parts = max(64, -(-border.count() * (length - gram) // WINDOWS))
+    dealt = border.mapInArrow(_windows(length, parts), _BLOCK).repartition(parts, "part").sortWithinPartitions("part")
+    edges = dealt.mapInArrow(_answers, "doc_id long, key long, p long, w long").groupBy("doc_id", "key", "p").agg(F.min("w").alias("s"), (F.max("w") + length).alias("e"))
     whole = found.where("whole").select("doc_id", "key", F.col("p").alias("s"), (F.col("p") + F.expr("shape & 1023") + length).alias("e"))
     # a run's shared windows hold its anchor, so what its bucket and the others find overlaps
     both = whole.unionByName(near.where("s IS NOT NULL").select("doc_id", "key", "s", "e")).unionByName(edges.select("doc_id", "key", "s", "e"))
     cuts = cut(both.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "e")).alias("cuts")))
-    discard(found, spans, near, windows)
+    discard(found, spans, near)
     return cuts
 
 
