@@ -411,6 +411,24 @@ def test_licenses(spark, docs):
     assert {1000, 1001, 1002, 1004} <= {r[1] for r in got} and not {1003, 1005, 1006, 1007} & {r[1] for r in got}
 
 
+def test_whole_licenses(spark, docs):
+    t = {n: x for n, (_, x) in licenses.TEMPLATES.items()}
+    mit = "MIT License\n\nCopyright (c) 2021 Example Authors\n\n" + t["MIT-text"] + "\n\n" + t["MIT-warranty"]
+    texts = [mit, t["MIT-full"], t["BSD-3-full"].replace(" 1. ", "\n1. ").replace(" 2. ", "\n2. ").replace(" 3. ", "\n3. "), t["GPL-2.0-header"], "Copyright 2021 Example Authors. " + t["ISC-full"]]
+    df = docs.unionByName(frame(spark, *((1000 + i, x, "s") for i, x in enumerate(texts))))
+    got = same(licenses.op6_license_scan(df), licenses.SQL, documents=df)
+    names = lambda i: {r["template"] for r in licenses.license_matches(df).where(F.col("doc_id") == i).collect()}
+    assert names(1000) == {"MIT-text", "MIT-warranty"} and names(1001) == {"MIT-full"} and "BSD-3-full" in names(1002)
+    assert names(1003) == {"GPL-2.0-header"} and names(1004) == {"ISC-full"} and len(got) >= 7
+
+
+def test_licenses_in_sentences(spark):
+    texts = ["Copyright 2021 Example Authors. Licensed under the Apache License, Version 2.0.", "Before it. Released under the MIT License. And more words that follow it here", "No word of the kind. Nor here.", None, ""]
+    df = frame(spark, *((i, x, "s") for i, x in enumerate(texts)))
+    got = licenses.license_matches(df, sentences=True).collect()
+    assert {(r["doc_id"], r["kind"], r["passage"], r["template"]) for r in got} == {(0, "sentence", 1, "Apache-2.0-notice"), (1, "sentence", 1, "MIT-notice")}
+
+
 def test_telling_words_lose_no_template():
     for name, (_, text) in licenses.TEMPLATES.items():
         own = licenses._bigrams(text)
