@@ -2,8 +2,10 @@
 
 Betweenness, PageRank and label propagation never cross a connected component (PageRank's share of the isolated
 nodes' mass is the same for all, and follows from two counts), so components are worked on in parallel. One with more than max_nodes
-nodes isn't gathered: its PageRank iterates over DataFrames, its betweenness is sampled from pivots and its communities come
-from synchronous rounds; the column exact tells.
+nodes isn't gathered: its PageRank iterates over DataFrames, and so do the others. There the number of pivots chooses: with
+None betweenness searches from every node and communities take turns, which gives at every size what a gathered component
+gives, at a cost of nodes times edges; with a number betweenness is estimated from so many nodes and communities come from
+synchronous rounds, and the column exact is false.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, cut, numbered
+from .components import connected_components, cut, discard, numbered
 
 DAMPING, ROUNDS, SWEEPS, MAX_NODES, MAX_EDGES = 0.85, 60, 20, 5_000, 200_000
 
@@ -96,11 +98,8 @@ def _component(shares: list[float], damping: float, start: float):
     return run
 
 
-def _sampled_betweenness(pairs: DataFrame, nodes: DataFrame, pivots: int = 16) -> DataFrame:
-    """(id, betweenness_raw) estimated from the shortest paths out of the pivots with the smallest hashes, by rounds of joins."""
-    both = cut(pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    count = nodes.count()
-    chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(pivots).select("id")
+def _flows(chosen: DataFrame, both: DataFrame) -> DataFrame:
+    """(id, share): what the shortest paths out of the chosen nodes (id) bring to every other node, by rounds of joins."""
     reached = cut(chosen.select(F.col("id").alias("p"), "id", F.lit(0).alias("far"), F.lit(1.0).alias("paths")))
     depth = 0
     while True:
@@ -109,19 +108,83 @@ def _sampled_betweenness(pairs: DataFrame, nodes: DataFrame, pivots: int = 16) -
         fresh = cut(step.join(reached.select("p", "id"), ["p", "id"], "left_anti").select("p", "id", F.lit(depth + 1).alias("far"), "paths"))
         if fresh.isEmpty():
             break
-        reached, depth = cut(reached.unionByName(fresh)), depth + 1
+        old, reached, depth = reached, cut(reached.unionByName(fresh)), depth + 1
+        discard(old, fresh)
     share = reached.where(F.col("far") == depth).select("p", "id", F.lit(0.0).alias("share"))
-    out = share
+    out, spent = share, [reached]
     for d in range(depth - 1, 0, -1):
         below = reached.where(F.col("far") == d + 1).join(share, ["p", "id"]).select("p", F.col("id").alias("w"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
         here = reached.where(F.col("far") == d)
         flow = below.join(both, F.col("w") == F.col("a")).groupBy("p", F.col("b").alias("id")).agg(F.sum("part").alias("part"))
         share = cut(here.join(flow, ["p", "id"], "left").select("p", "id", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
-        out = out.unionByName(share)
-    return out.groupBy("id").agg((F.sum("share") * count / min(pivots, max(count, 1)) / 2).alias("betweenness_raw"))
+        out, spent = out.unionByName(share), [*spent, share]
+    total = cut(out.groupBy("id").agg(F.sum("share").alias("share")))
+    discard(*spent)
+    return total
 
 
-def _large(nodes: DataFrame, pairs: DataFrame, shares: list[float], start: float) -> DataFrame:
+def _betweenness(nodes: DataFrame, both: DataFrame, pivots: int | None, at_once: int) -> DataFrame:
+    """(id, betweenness_raw) from the shortest paths out of every node, at_once of them at a time, or out of the pivots with
+    the smallest hashes, in proportion."""
+    count = nodes.count()
+    if pivots is not None:
+        chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(pivots).select("id")
+        return _flows(chosen, both).select("id", (F.col("share") * count / min(pivots, max(count, 1)) / 2).alias("betweenness_raw"))
+    blocks = max(1, -(-count // at_once))
+    dealt, total = cut(nodes.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))), None
+    for i in range(blocks):
+        part = _flows(dealt.where(F.col("block") == i).select("id"), both)
+        if total is None:
+            total = part
+        else:
+            old, total = total, cut(total.unionByName(part).groupBy("id").agg(F.sum("share").alias("share")))
+            discard(old, part)
+    return total.select("id", (F.col("share") / 2).alias("betweenness_raw"))
+
+
+def _turns(nodes: DataFrame, both: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+    """(id, label): communities by taking turns, as communities() finds them.
+
+    A node's turn needs the new labels of its neighbours before it and the old ones of those after it. So a sweep goes by
+    waves: a node's wave follows those of all neighbours before it, and the nodes of one wave take their turns together.
+    """
+    place = cut(numbered(nodes.select("ord", "id"), ["ord", "id"], "pos").select("id", "pos"))
+    of = lambda old, new: place.select(F.col("id").alias(old), F.col("pos").alias(new))
+    arcs = cut(both.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v"))
+    before = arcs.where("u < v")
+    wave = cut(place.select("pos", F.lit(0).alias("wave")))
+    while True:
+        after = before.join(wave, F.col("u") == F.col("pos")).groupBy(F.col("v").alias("pos")).agg((F.max("wave") + 1).alias("next"))
+        old, wave = wave, cut(wave.join(after, "pos", "left").select("pos", F.coalesce("next", F.lit(0)).alias("wave"), (F.coalesce("next", F.lit(0)) != F.col("wave")).alias("moved")))
+        moved = not wave.where("moved").isEmpty()
+        wave = wave.drop("moved") if not moved else wave
+        discard(old)
+        if not moved:
+            break
+    last = wave.agg(F.max("wave")).first()[0]
+    arcs = cut(arcs.join(wave.select(F.col("pos").alias("v"), "wave"), "v").repartitionByRange("wave", "v").sortWithinPartitions("wave"))
+    label = cut(place.select("pos", F.col("pos").alias("label")))
+    for _ in range(sweeps):
+        new = None
+        for w in range(last + 1):
+            here = arcs.where(F.col("wave") == w)
+            seen = here.where("u > v").join(label, F.col("u") == F.col("pos")).select("v", "label")
+            if new is not None:
+                seen = seen.unionByName(here.where("u < v").join(new, F.col("u") == F.col("pos")).select("v", "label"))
+            votes = seen.groupBy("v", "label").agg(F.count(F.lit(1)).alias("n"))
+            best = votes.groupBy(F.col("v").alias("pos")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("pos", F.col("m.label").alias("label"))
+            old, new = new, cut(best if new is None else new.unionByName(best))
+            if old is not None:
+                discard(old)
+        moved = not new.join(label.select("pos", F.col("label").alias("before")), "pos").where("label != before").isEmpty()
+        discard(label)
+        label = new
+        if not moved:
+            break
+    return label.join(of("id", "pos"), "pos").join(of("name", "label"), "label").select("id", F.col("name").alias("label"))
+
+
+def _large(nodes: DataFrame, pairs: DataFrame, shares: list[float], start: float, pivots: int | None, at_once: int) -> DataFrame:
     both = cut(pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     degree = both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     state = cut(nodes.join(degree, "id").select("id", "ord", "degree", F.lit(start).alias("rank"), F.col("id").alias("label")))
@@ -131,6 +194,16 @@ def _large(nodes: DataFrame, pairs: DataFrame, shares: list[float], start: float
         if i % 5 == 4:
             state = cut(state)
     state = cut(state)
+    if pivots is None:
+        state = state.drop("label").join(_turns(nodes, both), "id")
+    else:
+        state = _rounds(state, both)
+    between = _betweenness(nodes, both, pivots, at_once)
+    return state.join(between, "id", "left").select("id", F.coalesce("betweenness_raw", F.lit(0.0)).alias("betweenness_raw"), "rank", "label", F.lit(pivots is None).alias("exact"))
+
+
+def _rounds(state: DataFrame, both: DataFrame) -> DataFrame:
+    """state with the labels after synchronous rounds."""
     for _ in range(SWEEPS):
         votes = state.select(F.col("id").alias("a"), "label").join(both, "a").groupBy(F.col("b").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("v")).select("id", F.col("v.label").alias("new"))
@@ -139,13 +212,16 @@ def _large(nodes: DataFrame, pairs: DataFrame, shares: list[float], start: float
         state = after.drop("label").withColumnRenamed("new", "label")
         if not moved:
             break
-    between = _sampled_betweenness(pairs, nodes)
-    return state.join(between, "id", "left").select("id", F.coalesce("betweenness_raw", F.lit(0.0)).alias("betweenness_raw"), "rank", "label", F.lit(False).alias("exact"))
+    return state
 
 
-def analyze(entities: DataFrame, pairs: DataFrame, rounds: int = ROUNDS, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> DataFrame:
+def analyze(
+    entities: DataFrame, pairs: DataFrame, rounds: int = ROUNDS, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES, pivots: int | None = 16, at_once: int = 1_024
+) -> DataFrame:
     """(id, ord, betweenness, pagerank, community, exact) of entities (id, ord) over undirected pairs (a, b).
 
+    pivots: how many nodes of a component that isn't gathered betweenness is estimated from, None for all, at_once at a time.
+
     Betweenness and PageRank are relative to the greatest; communities are numbered by their first node in ord.
     """
     nodes = cut(entities.select("id", "ord"))
@@ -160,7 +236,7 @@ def analyze(entities: DataFrame, pairs: DataFrame, rounds: int = ROUNDS, max_nod
     rows = members.select("rep", F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), "ord").unionByName(grouped.select("rep", "a", "b", F.lit(None).cast(nodes.schema["ord"].dataType).alias("ord")))
     out = rows.join(big, "rep", "left_anti").groupBy("rep").applyInPandas(_component(shares, DAMPING, 1.0 / max(n, 1)), "id string, betweenness_raw double, rank double, label string, exact boolean")
     if not big.isEmpty():
-        out = out.unionByName(_large(members.join(big, "rep", "left_semi").select("id", "ord"), grouped.join(big, "rep", "left_semi").select("a", "b"), shares, 1.0 / n))
+        out = out.unionByName(_large(members.join(big, "rep", "left_semi").select("id", "ord"), grouped.join(big, "rep", "left_semi").select("a", "b"), shares, 1.0 / n, pivots, at_once))
     alone = nodes.join(rep, F.col("id") == F.col("node"), "left_anti").select("id", F.lit(0.0).alias("betweenness_raw"), F.lit(shares[-1]).alias("rank"), F.col("id").alias("label"), F.lit(True).alias("exact"))
     every = cut(out.unionByName(alone).join(nodes, "id"))
     first = numbered(every.groupBy("label").agg(F.min(F.struct("ord", "id")).alias("first")), ["first"], "community").select("label", "community")

@@ -179,12 +179,12 @@ def q_pagerank_3(s, d):
 
 @query("q_network_metrics")
 def q_network_metrics(s, d):
-    return network.analyze(place_nodes(s, d), place_pairs(s, d)).select("id", F.round("betweenness", 3).alias("betweenness"), F.round("pagerank", 3).alias("pagerank"), "community", "exact")
+    return network.analyze(place_nodes(s, d), place_pairs(s, d), pivots=None).select("id", F.round("betweenness", 3).alias("betweenness"), F.round("pagerank", 3).alias("pagerank"), "community", "exact")
 
 
 @query("q_top_broker")
 def q_top_broker(s, d):
-    return network.top_broker(network.analyze(place_nodes(s, d), place_pairs(s, d))).select("id", F.round("betweenness", 3).alias("betweenness"))
+    return network.top_broker(network.analyze(place_nodes(s, d), place_pairs(s, d), pivots=None)).select("id", F.round("betweenness", 3).alias("betweenness"))
 
 
 # -- orders --------------------------------------------------------------------------------------------------

@@ -68,6 +68,15 @@ def test_large_components_agree(spark):
     assert not got[0]["exact"] and got[6]["exact"]
 
 
+def test_large_components_whole(spark):
+    edges_ = [(0, 3), (0, 7), (1, 3), (1, 8), (2, 3), (2, 9), (3, 4), (4, 10), (5, 7), (5, 8), (6, 9), (6, 10), (7, 8), (9, 10), (12, 13), (12, 14), (12, 15)]
+    exact, nodes, df = metrics(spark, 16, edges_)
+    got = {int(r["id"]): r for r in network.analyze(nodes, df, max_nodes=3, pivots=None, at_once=10).collect()}
+    for i in range(16):
+        assert got[i]["exact"] and got[i]["community"] == exact[i]["community"], i
+        assert abs(got[i]["betweenness"] - exact[i]["betweenness"]) < 1e-9 and abs(got[i]["pagerank"] - exact[i]["pagerank"]) < 1e-9
+
+
 def test_empty_graph(spark):
     nodes = spark.createDataFrame([], "id string, ord long")
     assert network.analyze(nodes, spark.createDataFrame([], "a string, b string")).count() == 0
