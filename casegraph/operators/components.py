@@ -1,4 +1,4 @@
-"""Connected components, cutting lineage, and numbering rows in an order without gathering them."""
+"""Connected components, cutting lineage, numbering rows in an order and finding middles without gathering them."""
 
 from __future__ import annotations
 
@@ -103,3 +103,21 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     table = F.create_map(*(F.lit(x) for kv in start.items() for x in kv))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     return parts.withColumn(name, (inside + F.element_at(table, F.col("__part"))).cast("long")).drop("__part")
+
+
+def middles(values: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
+    """(keys, total, lower, upper) of each group of values that occur n times: how many there are, and the two in the middle,
+    which are one value where the number is odd. Nulls, and groups with a null key, are left out.
+
+    Equal values are counted first, the rest is range-partitioned and counted within its ranges, so a group of any size
+    spreads over tasks; only a number for each range and group is ordered in one place.
+    """
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(n).alias("__n"))
+    parts = cut(counts.repartitionByRange(*keys, value).withColumn("__part", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    sizes = parts.groupBy(*keys, "__part").agg(F.sum("__n").alias("__size"))
+    sizes = sizes.select(*keys, "__part", (F.sum("__size").over(group.orderBy("__part")) - F.col("__size")).alias("__start"), F.sum("__size").over(group).alias("total"))
+    ends = F.col("__start") + F.sum("__n").over(Window.partitionBy(*keys, "__part").orderBy(value))
+    rows = parts.join(sizes, [*keys, "__part"]).withColumn("__end", ends)
+    holds = lambda at: F.max(F.when((at < F.col("__end")) & (at >= F.col("__end") - F.col("__n")), F.col(value)))
+    return rows.groupBy(*keys, "total").agg(holds(F.floor((F.col("total") - 1) / 2)).alias("lower"), holds(F.floor(F.col("total") / 2)).alias("upper"))

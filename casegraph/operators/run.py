@@ -102,8 +102,8 @@ def run_case(records: DataFrame, refs: DataFrame | None = None, mappings: list[t
     predicted = network.predicted_edges(predictions)
     edges = cut(add_edges(edges.unionByName(_edge(predicted, 8))))
     hour = F.try_element_at("attributes", F.lit("activity_hour")).try_cast("int")
-    features = entities.select("id", "kind", F.size("sources").alias("sources"), hour.alias("activity_hour")).join(degrees(entities, edges), "id").join(metrics.select("id", "betweenness", "pagerank"), "id")
-    anomalies = cut(risk.detect_anomalies(cut(features)))
+    features = cut(entities.select("id", "kind", F.size("sources").alias("sources"), hour.alias("activity_hour")).join(degrees(entities, edges), "id").join(metrics.select("id", "betweenness", "pagerank"), "id"))
+    anomalies = cut(risk.detect_anomalies(features))
     facts = features.select("id", "degree", "betweenness").join(anomalies.select("id", F.col("score").alias("anomaly_score")), "id", "left").withColumn("adjustment", F.lit(0.0))
     scored = cut(risk.score_risk(entities, cut(facts), edges, domain))
     case = cut(risk.case_risk(scored))

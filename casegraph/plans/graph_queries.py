@@ -116,7 +116,7 @@ ol AS (SELECT id, feature, value, med, md.mad, CASE WHEN md.mad > 1e-6 THEN (val
 @query("q_anomaly_outliers", f"WITH {_FEATURES} SELECT id, feature, round(value, 6) AS value, round(med, 6) AS median, round(ol.mad, 6) AS mad, round(z, 6) AS z FROM ol")
 def q_anomaly_outliers(s, d):
     r = lambda c: F.round(c, 6).alias(c)
-    return risk.outliers(_event_features(s, d)).select("id", "feature", r("value"), r("median"), r("mad"), r("z"))
+    return risk.outliers(cut(_event_features(s, d))).select("id", "feature", r("value"), r("median"), r("mad"), r("z"))
 
 
 @query("q_anomaly_mad", f"""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casegraph.operators import assess, correlate, enrich, extract, govern, graph, network, resolve, risk, transforms
-from casegraph.operators.components import connected_components, numbered
+from casegraph.operators.components import connected_components, middles, numbered
 from casegraph.sources import readers
 
 ROWS = "kind string, label string, dedup_key string, attributes map<string,string>, tags array<string>, sources array<string>, sensitive boolean, ord long"
@@ -383,3 +383,34 @@ def test_a_case_end_to_end(spark, tmp_path):
     assert "# Resumo do caso" in text and "Ann Lee" in text
     none = run_case(records(spark).limit(0))
     assert none.entities.count() == 0 and none.risk.count() == 0
+
+
+def test_middles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 500), ("d", 501)) for v in rng.integers(-9, 9, n)] + [("hot", 0.0)] * 2000 + [("hot", 1.0), ("none", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r for r in middles(df.withColumn("n", F.lit(1)), ["k"], "v", "n").collect()}
+    assert set(got) == {"a", "b", "c", "d", "hot"}
+    for k, r in got.items():
+        own = sorted(v for x, v in rows if x == k)
+        assert (r["total"], r["lower"], r["upper"]) == (len(own), own[(len(own) - 1) // 2], own[len(own) // 2])
+    weighted = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    assert {r["k"]: r for r in middles(weighted, ["k"], "v", "n").collect()} == got
+    assert middles(df.limit(0).withColumn("n", F.lit(1)), ["k"], "v", "n").count() == 0
+
+
+def test_outliers_against_plain_medians(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"{k}{i}", k, int(rng.integers(0, 6)) + 90 * (i == 3), 0.0, float(rng.random()), 1) for k, n in (("account", 60), ("ip", 61), ("person", 3)) for i in range(n)]
+    features = spark.createDataFrame(rows, "id string, kind string, degree long, betweenness double, pagerank double, sources long")
+    got = {(r["id"], r["feature"]): r for r in risk.outliers(features).collect()}
+    want = {}
+    for kind in ("account", "ip"):
+        own = [r for r in rows if r[1] == kind]
+        for c, feature in enumerate(risk.FEATURES, 2):
+            values = np.array([float(r[c]) for r in own])
+            mid = float(np.median(values))
+            mad = float(np.median(np.abs(values - mid))) * 1.4826
+            want |= {(r[0], feature): (mid, mad) for r in own if r[c] > mid}
+    assert set(got) == set(want)
+    assert all(math.isclose(got[x]["median"], m) and math.isclose(got[x]["mad"], s) for x, (m, s) in want.items())
