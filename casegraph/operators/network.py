@@ -1,11 +1,13 @@
 """Centralities, communities, modularity and link prediction.
 
 Betweenness, PageRank and label propagation never cross a connected component (PageRank's share of the isolated
-nodes' mass is the same for all, and follows from two counts), so components are worked on in parallel. One with more than max_nodes
-nodes isn't gathered: its PageRank iterates over DataFrames, and so do the others. There the number of pivots chooses: with
-None betweenness searches from every node and communities take turns, which gives at every size what a gathered component
-gives, at a cost of nodes times edges; with a number betweenness is estimated from so many nodes and communities come from
-synchronous rounds, and the column exact is false.
+nodes' mass is the same for all, and follows from two counts), so components are worked on in parallel. Of one with more than
+max_nodes nodes the nodes with a single neighbour are folded: those of one neighbour, on one side of it in order, have one rank
+and one label, so they are one node that counts many times. Trees hang from the rest, and what they add to betweenness follows
+from their sizes. A component that is small once folded is gathered after all. One that isn't iterates over DataFrames. There the
+number of pivots chooses: with None betweenness searches from every node that is left without trees and communities take turns,
+which gives at every size what a gathered component gives, at a cost of such nodes times edges; with a number betweenness is
+estimated from so many nodes and communities come from synchronous rounds, and the column exact is false.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from .components import connected_components, cut, discard, numbered
 
 DAMPING, ROUNDS, SWEEPS, MAX_NODES, MAX_EDGES = 0.85, 60, 20, 5_000, 200_000
+#: Rounds in which the outermost nodes of trees are taken off where a component isn't gathered; deeper trees stay in the core.
+PEELS = 64
 
 
 def uniform_share(n: int, isolated: int, rounds: int = ROUNDS, damping: float = DAMPING) -> list[float]:
@@ -35,14 +39,15 @@ def adjacency_rows(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return np.r_[0, np.cumsum(np.bincount(tail, minlength=n))], head[np.argsort(tail, kind="stable")]
 
 
-def betweenness(starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
-    """Shortest-path betweenness of an undirected graph, each pair of ends counted once.
+def betweenness(starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 22, weight: np.ndarray | None = None) -> np.ndarray:
+    """Shortest-path betweenness of an undirected graph, each pair of ends counted once, or by the product of its weights.
 
     Many sources are searched together: a state is a node seen from a source, and one step takes all states of a level over
     all their edges. The steps' edges are kept, and dependencies flow back over them level by level.
     """
     n = len(starts) - 1
     total, width = np.zeros(n), max(1, at_once // max(1, n + len(ends)))
+    weight = np.ones(n) if weight is None else weight
     for lo in range(0, n, width):
         k = min(n, lo + width) - lo
         roots = np.arange(lo, lo + k) * k + np.arange(k)
@@ -61,21 +66,55 @@ def betweenness(starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 22) ->
             met[level] = True
         flow = np.zeros(n * k)
         for here, there in reversed(steps):
-            np.add.at(flow, here, (1 + flow[there]) * paths[here] / paths[there])
+            np.add.at(flow, here, (weight[there // k] + flow[there]) * paths[here] / paths[there])
         flow[roots] = 0
-        total += flow.reshape(n, k).sum(axis=1)
+        total += flow.reshape(n, k) @ weight[lo : lo + k]
     return total / 2
 
 
-def communities(starts: np.ndarray, ends: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
+def brokerage(starts: np.ndarray, ends: np.ndarray, size: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Betweenness of nodes that stand for size nodes each, themselves and trees hanging from them whose sizes have the squares'
+    sum; those of size 0 are folded into a neighbour.
+
+    Trees are taken off from the outside. A pair with an end in a node's trees passes it unless both ends are in one of them;
+    other pairs meet it only on ways through the core that has no trees left.
+    """
+    tail, on = np.repeat(np.arange(len(size)), np.diff(starts)), size > 0
+    size, squares, n = size.astype(float), squares.astype(float), size.sum()
+    while True:
+        held = on[tail] & on[ends]
+        tip = on & (np.bincount(tail[held], minlength=len(size)) == 1)
+        off = held & tip[tail] & ~(tip[ends] & (tail < ends))
+        if not off.any():
+            break
+        v, to = tail[off], ends[off]
+        np.add.at(size, to, size[v])
+        np.add.at(squares, to, size[v] ** 2)
+        on[v] = False
+    out = np.where(size > 0, ((n - 1) ** 2 - squares - (n - size) ** 2) / 2, 0.0)
+    core, place = np.flatnonzero(on), np.cumsum(on) - 1
+    arcs = held & (tail < ends)
+    out[core] += betweenness(*adjacency_rows(len(core), place[tail[arcs]], place[ends[arcs]]), weight=size[core])
+    return out
+
+
+def communities(starts: np.ndarray, ends: np.ndarray, sweeps: int = SWEEPS, many: np.ndarray | None = None, late: np.ndarray | None = None) -> np.ndarray:
     """Labels after sweeps in which every node in its turn takes the label that most of its neighbours have at that moment,
-    the smallest of equals; they end with the first sweep that changes none."""
+    the smallest of equals; they end with the first sweep that changes none.
+
+    A node may stand for many with its only neighbour. Late ones, whose turn follows their neighbour's, still have a label
+    each when that has its first turn: the first one's counts, once.
+    """
     label = np.arange(len(starts) - 1)
+    many = np.ones(len(label)) if many is None else many
+    votes = many if late is None else np.where(late, 1, many)
     for _ in range(sweeps):
         before = label.copy()
         for v in np.flatnonzero(np.diff(starts)):
-            names, votes = np.unique(label[ends[starts[v] : starts[v + 1]]], return_counts=True)
-            label[v] = names[votes.argmax()]
+            near = ends[starts[v] : starts[v + 1]]
+            names, place = np.unique(label[near], return_inverse=True)
+            label[v] = names[np.bincount(place, votes[near]).argmax()]
+        votes = many
         if (label == before).all():
             break
     return label
@@ -86,26 +125,74 @@ def _component(shares: list[float], damping: float, start: float):
         nodes = pdf[pdf["b"].isna()].sort_values(["ord", "a"]).reset_index(drop=True)
         place = pd.Series(nodes.index, index=nodes["a"])
         pairs = pdf[pdf["b"].notna()]
-        n = len(nodes)
+        n, many = len(nodes), nodes["many"].to_numpy(float)
         starts, ends = adjacency_rows(n, place[pairs["a"]].to_numpy(), place[pairs["b"]].to_numpy())
-        degree = np.diff(starts)
+        near = np.diff(starts)
+        degree = np.bincount(np.repeat(np.arange(n), near), many[ends], n)
         rank = np.full(n, start)
         for share in shares:
-            rank = share + damping * np.bincount(ends, np.repeat(rank / degree, degree), n)
-        label = communities(starts, ends)
-        return pd.DataFrame({"id": nodes["a"], "betweenness_raw": betweenness(starts, ends), "rank": rank, "label": nodes["a"].to_numpy()[label], "exact": True})
+            rank = share + damping * np.bincount(ends, np.repeat(many * rank / degree, near), n)
+        label = communities(starts, ends, SWEEPS, many, nodes["late"].to_numpy(bool))
+        between = brokerage(starts, ends, nodes["size"].to_numpy(float), nodes["squares"].to_numpy(float))
+        return pd.DataFrame({"id": nodes["a"], "betweenness_raw": between, "rank": rank, "label": nodes["a"].to_numpy()[label], "exact": True})
 
     return run
 
 
+def _core(pdf: pd.DataFrame) -> pd.DataFrame:
+    nodes = pdf[pdf["b"].isna()].reset_index(drop=True)
+    place = pd.Series(nodes.index, index=nodes["a"])
+    pairs = pdf[pdf["b"].notna()]
+    starts, ends = adjacency_rows(len(nodes), place[pairs["a"]].to_numpy(), place[pairs["b"]].to_numpy())
+    return pd.DataFrame({"id": nodes["a"], "betweenness_raw": brokerage(starts, ends, nodes["size"].to_numpy(float), nodes["squares"].to_numpy(float))})
+
+
+def _gathered(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Nodes (rep, id, ...) and, with b, pairs (rep, a, b) as rows of one table."""
+    return nodes.withColumnRenamed("id", "a").withColumn("b", F.lit(None).cast("string")).unionByName(pairs, allowMissingColumns=True)
+
+
+def _plain(nodes: DataFrame) -> DataFrame:
+    """Nodes (rep, id, ord) that stand for themselves."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return nodes.select("rep", "id", "ord", one.alias("many"), F.lit(False).alias("late"), one.alias("size"), none.alias("squares"))
+
+
+def _folded(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (rep, id, ord) and pairs (rep, a, b) with the nodes of one neighbour folded: nodes (rep, id, ord, many, late, size,
+    squares), pairs, and the tips (id, of), with of the node that stands for them."""
+    both = pairs.select("a", "b").unionAll(pairs.select("b", "a"))
+    met = cut(both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("hub")))
+    known = nodes.join(met, "id")
+    hubs = known.where("degree > 1").select(F.col("id").alias("hub"), F.struct("ord", "id").alias("turn"))
+    tips = cut(known.where("degree = 1").join(hubs, "hub").select("rep", "hub", "id", "ord", (F.struct("ord", "id") > F.col("turn")).alias("late")))
+    groups = tips.groupBy("rep", "hub", "late").agg(F.min(F.struct("ord", "id")).alias("first"), F.count(F.lit(1)).alias("many"))
+    groups = cut(groups.select("rep", "hub", "late", F.col("first.id").alias("of"), F.col("first.ord").alias("ord"), "many"))
+    held = groups.groupBy(F.col("hub").alias("id")).agg(F.sum("many").alias("n"))
+    none = F.lit(0).cast("long")
+    inner = cut(_plain(nodes.join(tips, "id", "left_anti")).join(held, "id", "left").withColumns({"size": F.coalesce("n", none) + 1, "squares": F.coalesce("n", none)}).drop("n"))
+    kept = inner.select(F.col("id").alias("a")), inner.select(F.col("id").alias("b"))
+    links = pairs.join(kept[0], "a", "left_semi").join(kept[1], "b", "left_semi").select("rep", "a", "b")
+    every = inner.unionByName(groups.select("rep", F.col("of").alias("id"), "ord", "many", "late", none.alias("size"), none.alias("squares")))
+    links = links.unionAll(groups.select("rep", F.col("of").alias("a"), F.col("hub").alias("b")))
+    return cut(every), cut(links), cut(tips.join(groups.select("hub", "late", "of"), ["hub", "late"]).select("id", "of"))
+
+
+def _beyond(nodes: DataFrame, pairs: DataFrame, max_nodes: int, max_edges: int) -> DataFrame:
+    """(rep) of the components that are too large to gather."""
+    sizes = nodes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("m")), "rep")
+    return cut(sizes.where((F.col("n") > max_nodes) | (F.col("m") > max_edges)).select("rep"))
+
+
 def _flows(chosen: DataFrame, both: DataFrame) -> DataFrame:
-    """(id, share): what the shortest paths out of the chosen nodes (id) bring to every other node, by rounds of joins."""
-    reached = cut(chosen.select(F.col("id").alias("p"), "id", F.lit(0).alias("far"), F.lit(1.0).alias("paths")))
+    """(id, share): what the shortest paths out of the chosen nodes (id, size) bring to every other node, by rounds of joins over
+    both (a, b, size), the size of b. A path counts as often as the sizes of its ends say."""
+    reached = cut(chosen.select(F.col("id").alias("p"), "id", F.lit(0).alias("far"), F.lit(1.0).alias("paths"), "size"))
     depth = 0
     while True:
         edge = reached.where(F.col("far") == depth)
-        step = edge.join(both, F.col("id") == F.col("a")).groupBy("p", F.col("b").alias("id")).agg(F.sum("paths").alias("paths"))
-        fresh = cut(step.join(reached.select("p", "id"), ["p", "id"], "left_anti").select("p", "id", F.lit(depth + 1).alias("far"), "paths"))
+        step = edge.drop("size").join(both, F.col("id") == F.col("a")).groupBy("p", F.col("b").alias("id")).agg(F.sum("paths").alias("paths"), F.first("size").alias("size"))
+        fresh = cut(step.join(reached.select("p", "id"), ["p", "id"], "left_anti").select("p", "id", F.lit(depth + 1).alias("far"), "paths", "size"))
         if fresh.isEmpty():
             break
         old, reached, depth = reached, cut(reached.unionByName(fresh)), depth + 1
@@ -113,27 +200,28 @@ def _flows(chosen: DataFrame, both: DataFrame) -> DataFrame:
     share = reached.where(F.col("far") == depth).select("p", "id", F.lit(0.0).alias("share"))
     out, spent = share, [reached]
     for d in range(depth - 1, 0, -1):
-        below = reached.where(F.col("far") == d + 1).join(share, ["p", "id"]).select("p", F.col("id").alias("w"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
+        below = reached.where(F.col("far") == d + 1).join(share, ["p", "id"]).select("p", F.col("id").alias("w"), ((F.col("size") + F.col("share")) / F.col("paths")).alias("part"))
         here = reached.where(F.col("far") == d)
         flow = below.join(both, F.col("w") == F.col("a")).groupBy("p", F.col("b").alias("id")).agg(F.sum("part").alias("part"))
         share = cut(here.join(flow, ["p", "id"], "left").select("p", "id", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
         out, spent = out.unionByName(share), [*spent, share]
-    total = cut(out.groupBy("id").agg(F.sum("share").alias("share")))
+    total = cut(out.join(chosen.select(F.col("id").alias("p"), "size"), "p").groupBy("id").agg(F.sum(F.col("share") * F.col("size")).alias("share")))
     discard(*spent)
     return total
 
 
 def _betweenness(nodes: DataFrame, both: DataFrame, pivots: int | None, at_once: int) -> DataFrame:
-    """(id, betweenness_raw) from the shortest paths out of every node, at_once of them at a time, or out of the pivots with
-    the smallest hashes, in proportion."""
+    """(id, betweenness_raw) from the shortest paths out of every node (id, size), at_once of them at a time, or out of the pivots
+    with the smallest hashes, in proportion."""
     count = nodes.count()
+    both = cut(both.join(nodes.select(F.col("id").alias("b"), "size"), "b").select("a", "b", "size"))
     if pivots is not None:
-        chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(pivots).select("id")
+        chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(pivots).select("id", "size")
         return _flows(chosen, both).select("id", (F.col("share") * count / min(pivots, max(count, 1)) / 2).alias("betweenness_raw"))
     blocks = max(1, -(-count // at_once))
-    dealt, total = cut(nodes.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))), None
+    dealt, total = cut(nodes.select("id", "size", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))), None
     for i in range(blocks):
-        part = _flows(dealt.where(F.col("block") == i).select("id"), both)
+        part = _flows(dealt.where(F.col("block") == i).select("id", "size"), both)
         if total is None:
             total = part
         else:
@@ -148,9 +236,10 @@ def _turns(nodes: DataFrame, both: DataFrame, sweeps: int = SWEEPS) -> DataFrame
     A node's turn needs the new labels of its neighbours before it and the old ones of those after it. So a sweep goes by
     waves: a node's wave follows those of all neighbours before it, and the nodes of one wave take their turns together.
     """
-    place = cut(numbered(nodes.select("ord", "id"), ["ord", "id"], "pos").select("id", "pos"))
+    place = cut(numbered(nodes.select("ord", "id", "many", "late"), ["ord", "id"], "pos").select("id", "pos", "many", "late"))
     of = lambda old, new: place.select(F.col("id").alias(old), F.col("pos").alias(new))
-    arcs = cut(both.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v"))
+    start = place.select(F.col("id").alias("a"), F.col("pos").alias("u"), F.when(F.col("late"), F.lit(1)).otherwise(F.col("many")).alias("once"), "many")
+    arcs = cut(both.join(start, "a").join(of("b", "v"), "b").select("u", "v", "once", "many"))
     before = arcs.where("u < v")
     wave = cut(place.select("pos", F.lit(0).alias("wave")))
     while True:
@@ -164,14 +253,14 @@ def _turns(nodes: DataFrame, both: DataFrame, sweeps: int = SWEEPS) -> DataFrame
     last = wave.agg(F.max("wave")).first()[0]
     arcs = cut(arcs.join(wave.select(F.col("pos").alias("v"), "wave"), "v").repartitionByRange("wave", "v").sortWithinPartitions("wave"))
     label = cut(place.select("pos", F.col("pos").alias("label")))
-    for _ in range(sweeps):
-        new = None
+    for sweep in range(sweeps):
+        new, weight = None, F.col("many" if sweep else "once").alias("weight")
         for w in range(last + 1):
             here = arcs.where(F.col("wave") == w)
-            seen = here.where("u > v").join(label, F.col("u") == F.col("pos")).select("v", "label")
+            seen = here.where("u > v").join(label, F.col("u") == F.col("pos")).select("v", "label", weight)
             if new is not None:
-                seen = seen.unionByName(here.where("u < v").join(new, F.col("u") == F.col("pos")).select("v", "label"))
-            votes = seen.groupBy("v", "label").agg(F.count(F.lit(1)).alias("n"))
+                seen = seen.unionByName(here.where("u < v").join(new, F.col("u") == F.col("pos")).select("v", "label", weight))
+            votes = seen.groupBy("v", "label").agg(F.sum("weight").alias("n"))
             best = votes.groupBy(F.col("v").alias("pos")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("pos", F.col("m.label").alias("label"))
             old, new = new, cut(best if new is None else new.unionByName(best))
             if old is not None:
@@ -184,13 +273,54 @@ def _turns(nodes: DataFrame, both: DataFrame, sweeps: int = SWEEPS) -> DataFrame
     return label.join(of("id", "pos"), "pos").join(of("name", "label"), "label").select("id", F.col("name").alias("label"))
 
 
-def _large(nodes: DataFrame, pairs: DataFrame, shares: list[float], start: float, pivots: int | None, at_once: int) -> DataFrame:
-    both = cut(pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    degree = both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    state = cut(nodes.join(degree, "id").select("id", "ord", "degree", F.lit(start).alias("rank"), F.col("id").alias("label")))
+def _trees(nodes: DataFrame, both: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, base), the core's nodes (rep, id, size, squares) and both ways of its pairs (rep, a, b): trees are taken off as in
+    brokerage, in PEELS rounds at most; base is the betweenness by the trees' sizes."""
+    whole = nodes.groupBy("rep").agg(F.sum("size").alias("n"))
+    core = cut(nodes.where("size > 0").select("rep", "id", "size", "squares"))
+    arcs = cut(both.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi").select("rep", "a", "b"))
+    done = None
+    for _ in range(PEELS):
+        tips = cut(arcs.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("to")).where("n = 1").select("id", "to"))
+        stays = tips.join(tips.select(F.col("id").alias("to")), "to", "left_semi").where("id < to").select("id")
+        off = cut(core.join(tips.join(stays, "id", "left_anti"), "id"))
+        if off.isEmpty():
+            break
+        done = off.drop("to") if done is None else done.unionByName(off.drop("to"))
+        gain = off.groupBy(F.col("to").alias("id")).agg(F.sum("size").alias("s"), F.sum(F.col("size") * F.col("size")).alias("q"))
+        none = F.lit(0).cast("long")
+        new = core.join(off.select("id"), "id", "left_anti").join(gain, "id", "left")
+        core, old = cut(new.select("rep", "id", (F.col("size") + F.coalesce("s", none)).alias("size"), (F.col("squares") + F.coalesce("q", none)).alias("squares"))), (core, arcs)
+        arcs = cut(arcs.join(off.select(F.col("id").alias("a")), "a", "left_anti").join(off.select(F.col("id").alias("b")), "b", "left_anti").select("rep", "a", "b"))
+        discard(*old)
+    every = core if done is None else core.unionByName(done)
+    square = lambda c: c * c
+    base = (square(F.col("n") - 1) - F.col("squares") - square(F.col("n") - F.col("size"))) / 2
+    return cut(every.join(whole, "rep").select("id", base.alias("base"))), core, arcs
+
+
+def _between(nodes: DataFrame, both: DataFrame, pivots: int | None, at_once: int, max_nodes: int, max_edges: int) -> DataFrame:
+    """(id, betweenness_raw) of folded nodes: by the trees' sizes, and on the ways through what is left without trees."""
+    base, core, arcs = _trees(nodes, both)
+    pairs = arcs.where("a < b")
+    big = _beyond(core, pairs, max_nodes, max_edges)
+    small = _gathered(core.join(big, "rep", "left_anti"), pairs.join(big, "rep", "left_anti")).groupBy("rep").applyInPandas(_core, "id string, betweenness_raw double")
+    if big.isEmpty():
+        rest = small
+    else:
+        ways = _betweenness(core.join(big, "rep", "left_semi").select("id", "size"), arcs.join(big, "rep", "left_semi").select("a", "b"), pivots, at_once)
+        ways = core.join(big, "rep", "left_semi").select("id").join(base, "id").join(ways, "id", "left")
+        rest = small.unionByName(ways.select("id", (F.col("base") + F.coalesce("betweenness_raw", F.lit(0.0))).alias("betweenness_raw")))
+    return base.join(rest, "id", "left").select("id", F.coalesce("betweenness_raw", "base").alias("betweenness_raw"))
+
+
+def _large(nodes: DataFrame, pairs: DataFrame, shares: list[float], start: float, pivots: int | None, at_once: int, max_nodes: int, max_edges: int) -> DataFrame:
+    both = cut(pairs.unionAll(pairs.select("rep", F.col("b").alias("a"), F.col("a").alias("b"))))
+    degree = both.join(nodes.select(F.col("id").alias("b"), "many"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("many").alias("degree"))
+    state = cut(nodes.join(degree, "id").select("id", "many", "degree", F.lit(start).alias("rank"), F.col("id").alias("label")))
     for i, share in enumerate(shares):
-        flow = state.select(F.col("id").alias("a"), (F.col("rank") / F.col("degree")).alias("out")).join(both, "a").groupBy(F.col("b").alias("id")).agg(F.sum("out").alias("in"))
-        state = state.join(flow, "id").select("id", "ord", "degree", (share + DAMPING * F.col("in")).alias("rank"), "label")
+        flow = state.select(F.col("id").alias("a"), (F.col("many") * F.col("rank") / F.col("degree")).alias("out")).join(both, "a").groupBy(F.col("b").alias("id")).agg(F.sum("out").alias("in"))
+        state = state.join(flow, "id").select("id", "many", "degree", (share + DAMPING * F.col("in")).alias("rank"), "label")
         if i % 5 == 4:
             state = cut(state)
     state = cut(state)
@@ -198,14 +328,14 @@ def _large(nodes: DataFrame, pairs: DataFrame, shares: list[float], start: float
         state = state.drop("label").join(_turns(nodes, both), "id")
     else:
         state = _rounds(state, both)
-    between = _betweenness(nodes, both, pivots, at_once)
+    between = _between(nodes, both, pivots, at_once, max_nodes, max_edges)
     return state.join(between, "id", "left").select("id", F.coalesce("betweenness_raw", F.lit(0.0)).alias("betweenness_raw"), "rank", "label", F.lit(pivots is None).alias("exact"))
 
 
 def _rounds(state: DataFrame, both: DataFrame) -> DataFrame:
-    """state with the labels after synchronous rounds."""
-    for _ in range(SWEEPS):
-        votes = state.select(F.col("id").alias("a"), "label").join(both, "a").groupBy(F.col("b").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
+    """state with the labels after synchronous rounds; before the first one folded nodes have a label each."""
+    for i in range(SWEEPS):
+        votes = state.select(F.col("id").alias("a"), "label", F.col("many") if i else F.lit(1).alias("many")).join(both, "a").groupBy(F.col("b").alias("id"), "label").agg(F.sum("many").alias("n"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("v")).select("id", F.col("v.label").alias("new"))
         after = cut(state.join(best, "id"))
         moved = after.where("new != label").limit(1).count()
@@ -229,14 +359,22 @@ def analyze(
     rep = cut(connected_components(pairs))
     n, linked = nodes.count(), rep.count()
     shares = uniform_share(max(n, 1), n - linked, rounds)
-    grouped = pairs.join(rep, F.col("a") == F.col("node")).select("rep", "a", "b")
-    sizes = rep.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(grouped.groupBy("rep").agg(F.count(F.lit(1)).alias("m")), "rep")
-    big = cut(sizes.where((F.col("n") > max_nodes) | (F.col("m") > max_edges)).select("rep"))
-    members = nodes.join(rep, F.col("id") == F.col("node"))
-    rows = members.select("rep", F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), "ord").unionByName(grouped.select("rep", "a", "b", F.lit(None).cast(nodes.schema["ord"].dataType).alias("ord")))
-    out = rows.join(big, "rep", "left_anti").groupBy("rep").applyInPandas(_component(shares, DAMPING, 1.0 / max(n, 1)), "id string, betweenness_raw double, rank double, label string, exact boolean")
+    links = cut(pairs.join(rep, F.col("a") == F.col("node")).select("rep", "a", "b"))
+    members = cut(nodes.join(rep, F.col("id") == F.col("node")).select("rep", "id", "ord"))
+    big = _beyond(members, links, max_nodes, max_edges)
+    whole, between, tips, large = _plain(members.join(big, "rep", "left_anti")), links.join(big, "rep", "left_anti"), None, None
     if not big.isEmpty():
-        out = out.unionByName(_large(members.join(big, "rep", "left_semi").select("id", "ord"), grouped.join(big, "rep", "left_semi").select("a", "b"), shares, 1.0 / n, pivots, at_once))
+        some, near, tips = _folded(members.join(big, "rep", "left_semi"), links.join(big, "rep", "left_semi"))
+        big = _beyond(some, near, max_nodes, max_edges)
+        whole, between = whole.unionByName(some.join(big, "rep", "left_anti")), between.unionByName(near.join(big, "rep", "left_anti"))
+        if not big.isEmpty():
+            large = _large(some.join(big, "rep", "left_semi"), near.join(big, "rep", "left_semi"), shares, 1.0 / n, pivots, at_once, max_nodes, max_edges)
+    out = _gathered(whole, between).groupBy("rep").applyInPandas(_component(shares, DAMPING, 1.0 / max(n, 1)), "id string, betweenness_raw double, rank double, label string, exact boolean")
+    out = out if large is None else out.unionByName(large)
+    if tips is not None:
+        out = cut(out)
+        folded = tips.where("id != of").join(out.withColumnRenamed("id", "of"), "of")
+        out = out.unionByName(folded.select("id", "betweenness_raw", "rank", "label", "exact"))
     alone = nodes.join(rep, F.col("id") == F.col("node"), "left_anti").select("id", F.lit(0.0).alias("betweenness_raw"), F.lit(shares[-1]).alias("rank"), F.col("id").alias("label"), F.lit(True).alias("exact"))
     every = cut(out.unionByName(alone).join(nodes, "id"))
     first = numbered(every.groupBy("label").agg(F.min(F.struct("ord", "id")).alias("first")), ["first"], "community").select("label", "community")

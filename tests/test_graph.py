@@ -77,6 +77,49 @@ def test_large_components_whole(spark):
         assert abs(got[i]["betweenness"] - exact[i]["betweenness"]) < 1e-9 and abs(got[i]["pagerank"] - exact[i]["pagerank"]) < 1e-9
 
 
+def test_trees_are_folded(spark):
+    """A component beyond MAX_NODES that is small once its outermost nodes are folded is worked on whole."""
+    n = network.MAX_NODES + 1_000
+    pairs = [(0, 1), (1, 2)] + [(i % 3, i) for i in range(3, n)]
+    nodes = spark.range(n).selectExpr("cast(id AS string) AS id", "id AS ord")
+    got = {int(r["id"]): r for r in network.analyze(nodes, spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "a string, b string")).collect()}
+    sizes = [(n + 2) // 3, (n + 1) // 3, n // 3]
+    raw = [((n - 1) ** 2 - (x - 1) - (n - x) ** 2) / 2 for x in sizes]
+    raw[1] += sizes[0] * sizes[2]
+    assert all(got[i]["exact"] for i in range(n)) and [got[i]["community"] for i in range(n)] == [got[i % 3]["community"] for i in range(n)]
+    assert [round(got[i]["betweenness"], 9) for i in (0, 1, 2, 3, n - 1)] == [round(x / max(raw), 9) for x in (*raw, 0, 0)]
+
+
+@pytest.mark.parametrize("max_nodes", [17, 3])
+def test_trees_agree_with_whole_components(spark, max_nodes):
+    """Rings with trees, folded and gathered or by joins, against the plain functions over all nodes."""
+    n, rng = 24, np.random.default_rng(5)
+    ring = [(i, i + 4) for i in range(0, 20, 4)] + [(0, 20), (4, 16), (0, 12)]
+    trees = [(1, 0), (2, 0), (3, 0), (5, 4), (6, 5), (7, 5), (9, 8), (10, 9), (11, 9), (13, 12), (14, 12), (15, 16), (17, 15), (18, 15), (19, 20), (21, 20), (22, 20), (23, 20)]
+    turn = rng.permutation(n)  # names and turns differ
+    pairs = [(turn[a], turn[b]) for a, b in ring + trees]
+    nodes = spark.createDataFrame([(str(99 - i), i) for i in range(n)], "id string, ord long")
+    df = spark.createDataFrame([(str(99 - a), str(99 - b)) for a, b in pairs], "a string, b string")
+    got = {99 - int(r["id"]): r for r in network.analyze(nodes, df, max_nodes=max_nodes, pivots=None, at_once=4).collect()}
+    starts, ends = network.adjacency_rows(n, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    between, label, rank, degree = network.betweenness(starts, ends), network.communities(starts, ends), np.full(n, 1 / n), np.diff(starts)
+    for _ in range(network.ROUNDS):
+        rank = 0.15 / n + 0.85 * np.bincount(ends, np.repeat(rank / degree, degree), n)
+    for i in range(n):
+        assert got[i]["exact"] and abs(got[i]["betweenness"] - between[i] / between.max()) < 1e-9 and abs(got[i]["pagerank"] - rank[i] / rank.max()) < 1e-9
+        assert [got[j]["community"] == got[i]["community"] for j in range(n)] == (label == label[i]).tolist()
+
+
+def test_brokerage_equals_betweenness():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 12, 30):
+        for extra in (0, 2, 9):
+            pairs = {(int(rng.integers(i)), i) for i in range(1, n)} | {tuple(sorted(map(int, rng.choice(n, 2, False)))) for _ in range(extra) if n > 1}
+            a, b = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
+            starts, ends = network.adjacency_rows(n, a, b)
+            assert np.allclose(network.brokerage(starts, ends, np.ones(n), np.zeros(n)), network.betweenness(starts, ends))
+
+
 def test_empty_graph(spark):
     nodes = spark.createDataFrame([], "id string, ord long")
     assert network.analyze(nodes, spark.createDataFrame([], "a string, b string")).count() == 0
