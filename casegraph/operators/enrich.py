@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hex_distance, ip_scope, iso_hour, parse_amount, registrable_domain, url_host
+from ..functions.text import ip_scope, iso_hour, parse_amount, registrable_domain, url_host
+from .components import cut, numbered
 from .graph import STRINGS, dedup_key, ends, entity_id
 
 #: Rows of a feed that may be broadcast.
 FEED_ROWS = 200_000
+#: Hashes that are compared at once with so many of a feed, and tasks that such blocks are dealt to at most.
+OWN_ROWS, BLOCK_ROWS, TASKS = 4_096, 16_384, 10_000
 
 
 def derived_attributes(entities: DataFrame) -> DataFrame:
@@ -61,28 +65,60 @@ def match_exact(items: DataFrame, refs: DataFrame) -> DataFrame:
     return items.select("id", F.lower(F.trim("hash")).alias("h")).join(known, "h").select("id", "source", "category", "severity")
 
 
-def match_perceptual(items: DataFrame, refs: DataFrame, most: int = 10) -> DataFrame:
+def match_perceptual(items: DataFrame, refs: DataFrame, most: int = 10, own_rows: int = OWN_ROWS, feed_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, source, category, severity, distance, similarity): the nearest feed value of each item (id, hash) within `most`
     bits, of equals the first.
 
-    Two hashes within `most` bits agree on one of most + 1 pieces: the join is on pieces, not on all pairs.
+    Pieces of so few bits as two hashes within `most` agree on hold for nearly all pairs, so distinct hashes of one length are
+    compared with the feed in blocks, each two blocks in a task of their own.
     """
-    pieces = most + 1
-
-    def split(df: DataFrame, name: str) -> DataFrame:
-        bits = F.regexp_replace(F.lower(F.trim(name)), "^0x", "")
-        df = df.withColumn("h", bits).where(F.regexp_like("h", F.lit("^([0-9a-f]{2})+$")))
-        each = F.transform(F.split("h", ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
-        df = df.withColumn("b", F.array_join(each, "")).withColumn("n", F.length("b"))
-        at = lambda i: F.floor(i * F.col("n") / pieces).cast("int")
-        part = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.struct(i.alias("i"), F.substr("b", at(i) + 1, at(i + 1) - at(i)).alias("p")))
-        return df.withColumn("part", F.explode(part))
-
-    a = split(items.select("id", "hash"), "hash").select("id", F.col("h").alias("x"), "n", "part")
-    b = split(refs.where("kind = 'perceptual'"), "value").select(F.col("h").alias("y"), "n", "part", "source", "category", "severity", "ord")
-    near = a.join(b, ["n", "part"]).select("id", "x", "y", "n", "source", "category", "severity", "ord").distinct().withColumn("distance", hex_distance(F.col("x"), F.col("y"))).where(F.col("distance") <= most)
-    best = near.groupBy("id").agg(F.min(F.struct("distance", "ord", "y", "source", "category", "severity", "n")).alias("m"))
-    return best.select("id", "m.source", "m.category", "m.severity", "m.distance", (1 - F.col("m.distance") / F.col("m.n")).alias("similarity"))
+    clean = lambda c: F.regexp_replace(F.lower(F.trim(c)), "^0x", "").alias("h")
+    hexa = lambda df: df.where(F.regexp_like("h", F.lit("^([0-9a-f]{2})+$"))).withColumn("n", F.length("h") * 4)
+    rows = cut(hexa(items.select("id", clean("hash"))))
+    feed = cut(hexa(refs.where("kind = 'perceptual'").select(clean("value"), "source", "category", "severity", "ord")).distinct())
+    known = cut(numbered(feed, ["ord", "h", "source", "category", "severity"], "pos"))
+    texts = cut(rows.select("n", "h").distinct())
+    parts = max(1, -(-texts.count() // own_rows))
+    own = cut(texts.groupBy("n", F.pmod(F.xxhash64("h"), F.lit(parts)).alias("part")).agg(F.collect_list(F.unhex("h")).alias("own")))
+    first = known.groupBy("n", "h").agg(F.min("pos").alias("pos"))
+    blocks = first.groupBy("n", F.floor(F.col("pos") / feed_rows).alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", F.unhex("h").alias("bits")))).alias("f"))
+    blocks = cut(blocks.select("n", "block", F.col("f.pos").alias("pos"), F.col("f.bits").alias("feed")))
+    met = cut(own.select("n", "part").join(blocks.select("n", "block"), "n"))
+    both = met.join(own, ["n", "part"]).join(blocks, ["n", "block"]).select("part", "block", "own", "pos", "feed")
+    near = both.repartition(max(1, min(met.count(), TASKS)), "part", "block").select("own", "pos", "feed").mapInArrow(_nearest(most), "h binary, distance int, pos long")
+    best = near.groupBy("h").agg(F.min(F.struct("distance", "pos")).alias("m")).select(F.lower(F.hex("h")).alias("h"), "m")
+    found = rows.join(best, "h").groupBy("id").agg(F.min(F.struct("m", "n")).alias("b")).select("id", "b.m.distance", "b.m.pos", "b.n")
+    return found.join(known.drop("n"), "pos").select("id", "source", "category", "severity", "distance", (1 - F.col("distance") / F.col("n")).alias("similarity"))
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Equally long binaries as rows of 64-bit words."""
+    raw = [x.as_buffer() for x in column]
+    bits = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
+
+
+def _nearest(most: int, cells: int = 1 << 20):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nearest of each block of the feed, of equals the first, for those that have one within `most` bits."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                mine, pos, feed = (batch.column(c)[i].values for c in range(3))
+                x, y, pos = _words(mine), _words(feed), pos.to_numpy()
+                step = max(1, cells // len(y))
+                for lo in range(0, len(x), step):
+                    part = x[lo : lo + step]
+                    far = np.bitwise_count(part[:, :1] ^ y[:, 0])
+                    if x.shape[1] > 1:
+                        far = far.astype(np.int32)
+                        for w in range(1, x.shape[1]):
+                            far += np.bitwise_count(part[:, w : w + 1] ^ y[:, w])
+                    at = far.argmin(axis=1)
+                    least = far[np.arange(len(part)), at].astype(np.int32)
+                    hit = np.flatnonzero(least <= most)
+                    yield pa.RecordBatch.from_arrays([mine.slice(lo, len(part)).take(pa.array(hit)), pa.array(least[hit]), pa.array(pos[at[hit]])], ["h", "distance", "pos"])
+
+    return run
 
 
 def nearest_perceptual(items: DataFrame, refs: DataFrame, at_once: int = 100_000) -> DataFrame:

@@ -197,9 +197,8 @@ def q_ref_exact(s, d):
 
 def _signs(s, d):
     """A 64-bit hash of each vector: the signs of its components."""
-    bits = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
-    parts = F.transform(F.sequence(F.lit(1), F.lit(61), F.lit(4)), lambda i: F.lower(F.conv(F.substr("b", i, F.lit(4)), 2, 16)))
-    return table(s, d, "embeddings").withColumn("b", bits).select("vec_id", "label", F.array_join(parts, "").alias("hash"))
+    bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("long"), lambda n, x: F.shiftleft(n, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
+    return table(s, d, "embeddings").select("vec_id", "label", F.lower(F.lpad(F.hex(bits), 16, "0")).alias("hash"))
 
 
 _SIGN = "list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)"

@@ -382,6 +382,30 @@ def test_nearest_equals_all_pairs(spark, monkeypatch):
         assert [i for _, i in mine] == [i for s, i in sims if s <= 0]
 
 
+def test_perceptual_matches_equal_all_pairs(spark):
+    """Every block of own hashes against every block of the feed; joins on pieces of three bits gave nearly all pairs many times."""
+    rng = np.random.default_rng(4)
+    made = lambda k, size: [rng.integers(0, 256, size, np.uint8).tobytes().hex() for _ in range(k)]
+    feed = [*made(40, 8), *made(9, 2), *made(9, 12)]
+    refs = [(h.upper() if i % 3 else "0x" + h, "perceptual", f"s{i}", "c", None, int(rng.integers(9))) for i, h in enumerate(feed + feed[:5])] + [("zz", "perceptual", "s", "c", "low", 0), ("00" * 8, "hash", "s", "c", "low", 0)]
+    own = [*made(60, 8), *made(9, 2), *made(9, 12), *feed[:4], feed[0], "abc", "q", "", None]
+    items = spark.createDataFrame(list(enumerate(own)), "id long, hash string")
+    want = {}
+    for i, h in enumerate(own):
+        near = []
+        for v, kind, source, _, _, order in refs:
+            v = v.lower().removeprefix("0x")
+            if h and kind == "perceptual" and len(h) == len(v) and len(h) % 2 == 0:
+                near.append(((int(h, 16) ^ int(v, 16)).bit_count(), order, v, source))
+        if near and min(near)[0] <= 24:
+            want[i] = (min(near)[0], min(near)[3], 1 - min(near)[0] / (4 * len(h)))
+    frame = spark.createDataFrame(refs, "value string, kind string, source string, category string, severity string, ord long")
+    for blocks in ((4096, 4096), (7, 5)):
+        got = enrich.match_perceptual(items, frame, 24, *blocks).collect()
+        assert {r["id"]: (r["distance"], r["source"], r["similarity"]) for r in got} == want and len(got) == len(want)
+    assert enrich.match_perceptual(items, frame.limit(0), 24).count() == 0 and enrich.match_perceptual(items.limit(0), frame, 24).count() == 0
+
+
 def test_nearest_perceptual(spark):
     refs = spark.createDataFrame([("ff00", "perceptual"), ("0x0001", "perceptual"), ("ff", "perceptual"), ("zz", "perceptual"), ("0000", "hash")], "value string, kind string")
     items = spark.createDataFrame([("a", "FF01"), ("b", "0000"), ("c", "abc"), ("d", "00"), ("e", "00000000")], "id string, hash string")
