@@ -3,7 +3,10 @@
 Distinct shingle sets are nodes, so copies enter once. A node's MinHash signature is cut into BANDS bands of ROWS values;
 nodes that share a band share a cell, and of cells with the same nodes one stays. Cells get the shingle sets themselves and
 compare them exactly: an emitted link is always right, and a pair of similarity s is met but for a chance of
-(1 - s ** ROWS) ** BANDS, 3e-6 at 0.8. SimHash would not do: at 0.8 sixty-four bits differ in ten places on average.
+(1 - s ** ROWS) ** BANDS, 3e-6 at 0.8.
+
+Candidates are also the nodes whose SimHash fingerprints of the same shingles are within 3 bits, by op2's embedding and grid
+range-join; the exact check follows. Alone they would not do: at 0.8 sixty-four bits differ in ten places on average.
 
 First every node is compared with one member of each of its cells, the one with most company, which links a group of
 copies to its original whatever its size; it is a join, so no cell meets in one task. Cells whose nodes are in one
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, discard, text_hash
-from .simhash import SEED, survivors
+from .simhash import DISTANCE, SEED, STEP, bit_counts, grid_links, majority, survivors
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -34,14 +37,24 @@ _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np
 _FACTOR, _SHIFT = _MIX[0] * np.uint64(2) + np.uint64(1), _MIX[1]
 
 
-def shingles(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the lower-cased words' shingles; of fewer words all are one; none where there is no word."""
+def hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the lower-cased words' shingles, repeats included; of fewer words all are one; none where there is no word."""
     words = data.lower().split()
     if not words:
         return np.empty(0, np.uint64)
     whole, n, size = b" ".join(words), max(1, len(words) - shingle + 1), min(shingle, len(words))
     at = [0, *accumulate(len(w) + 1 for w in words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(whole[s : e - 1], SEED) for s, e in zip(at[:n], at[size:])), np.uint64, n))
+    return np.fromiter((xxhash.xxh64_intdigest(whole[s : e - 1], SEED) for s, e in zip(at[:n], at[size:])), np.uint64, n)
+
+
+def shingles(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes."""
+    return np.unique(hashes(data, shingle))
+
+
+def simhash(h: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes, as simhash.fingerprint makes it; 0 where there is none."""
+    return majority(sum(bit_counts(h[lo : lo + STEP]) for lo in range(0, len(h), STEP)), len(h)) if len(h) else 0
 
 
 def cells(s: np.ndarray) -> np.ndarray:
@@ -64,14 +77,16 @@ def _bytes(column: pa.Array) -> Iterator[bytes]:
 
 def _sketched(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row's node and, for a set that is not empty, its cells."""
+        """A row's node, its fingerprint and, for a set that is not empty, its cells."""
         for b in batches:
-            nodes, found = [], []
+            nodes, fps, found = [], [], []
             for x in _bytes(b.column(2)):
-                s = shingles(x, shingle)
+                h = hashes(x, shingle)
+                s = np.unique(h)
                 nodes.append(_node(s))
+                fps.append(simhash(h))
                 found.append(cells(s).view("<i8") if len(s) else np.empty(0, "<i8"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "fp", "cells"])
 
     return run
 
@@ -152,6 +167,25 @@ def _alike(similarity: float):
     return run
 
 
+def sketches(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_hash, node, fp, cells), one row for each row."""
+    texts = documents.select("doc_id", text_hash().alias("text_hash"), "text")
+    return texts.mapInArrow(_sketched(shingle), "doc_id long, text_hash long, node long, fp long, cells array<long>")
+
+
+def simhash_pairs(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b) nodes of sketches that are linked by fingerprints within the distance: of one fingerprint all nodes with the
+    smallest, and the smallest ones of fingerprints that op2's grid links. Empty texts are left out."""
+    held = cut(docs.where(F.size("cells") > 0).select("fp", "node").distinct())
+    first = cut(held.groupBy("fp").agg(F.min("node").alias("first")))
+    found = cut(grid_links(first, distance))
+    of = lambda fp, node: first.select(F.col("fp").alias(fp), F.col("first").alias(node))
+    same = held.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    pairs = cut(found.select(F.col("a").alias("x"), F.col("b").alias("y")).join(of("x", "a"), "x").join(of("y", "b"), "y").select("a", "b").unionAll(same).where("a != b").distinct())
+    discard(held, first, found)
+    return pairs
+
+
 def near_components(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash and rep, one row for each row: rows with one rep are reachable over links of that similarity.
 
@@ -161,20 +195,23 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, similarity: fl
     if not 0.8 <= similarity <= 1:
         raise ValueError("the bands are chosen for similarities of 0.8 or more")
     texts = documents.select("doc_id", text_hash().alias("text_hash"), "text")
-    docs = cut(texts.mapInArrow(_sketched(shingle), "doc_id long, text_hash long, node long, cells array<long>"))
+    docs = cut(sketches(documents, shingle))
+    close = simhash_pairs(docs)
     nodes = docs.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("cells").alias("cells"))
     every = cut(nodes.select("node", "text_hash", F.explode("cells").alias("cell")))
     shared = every.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     chosen = cut(shared.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "n"))
     member = cut(every.join(chosen, "cell").select("cell", "n", "node", "text_hash"))
-    used = cut(member.select("text_hash").distinct())
+    ends = close.select(F.col("a").alias("node")).unionAll(close.select("b"))
+    used = cut(member.select("text_hash").unionAll(nodes.join(ends, "node", "left_semi").select("text_hash")).distinct())
     made = texts.join(used, "text_hash", "left_semi").select("text").mapInArrow(_sets(shingle), "node long, s binary")
     sets = cut(made.groupBy("node").agg(F.first("s").alias("s")))
     # the node with most company speaks for its cell
     company = member.groupBy("node").agg(F.sum("n").alias("company"))
     ranked = member.join(company, "node").select("cell", "node", "company")
     heads = ranked.groupBy("cell").agg(F.max(F.struct("company", "node")).alias("m")).select("cell", F.col("m.node").alias("head"))
-    pairs = cut(member.join(heads, "cell").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    headed = member.join(heads, "cell").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    pairs = cut(headed.unionAll(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b").select("a", "b", "s_a", "s_b")
     star = cut(both.mapInArrow(_alike(similarity), "a long, b long"))
@@ -191,7 +228,7 @@ def near_components(documents: DataFrame, shingle: int = SHINGLE, similarity: fl
     met = other.select(part.alias("cell"), "node").join(sets, "node").select("cell", "node", "s")
     more = cut(met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(similarity), "a long, b long"))
     reps = cut(connected_components(star.unionByName(more)))
-    discard(every, chosen, member, used, sets, pairs, star, first, more)
+    discard(close, every, chosen, member, used, sets, pairs, star, first, more)
     return docs.select("doc_id", "text_hash", "node").join(reps.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", "text_hash", F.coalesce("rep", "node").alias("rep"))
 
 

@@ -28,6 +28,19 @@ DISTANCE, SHINGLE, SEED = 3, 3, 42
 _EVEN = np.uint64(0x5555555555555555)
 #: Fingerprints compared at once in a cell, and those above which a cell is split.
 BLOCK, HOT = 2048, 50_000
+#: Hashes whose bits are counted at once.
+STEP = 255 * 64
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of at most STEP hashes have each bit."""
+    bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
+    return np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -40,13 +53,10 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     size = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     counts = np.zeros(64, np.int64)
-    step = 255 * 64
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        h = np.array([digest(whole[s : e - 1], SEED) for s, e in zip(at[lo:hi], at[lo + size : hi + size])], "<u8")
-        bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
-        counts += np.add.reduceat(bits, np.arange(0, hi - lo, 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    for lo in range(0, n, STEP):
+        hi = min(n, lo + STEP)
+        counts += bit_counts(np.array([digest(whole[s : e - 1], SEED) for s, e in zip(at[lo:hi], at[lo + size : hi + size])], "<u8"))
+    return majority(counts, n)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +185,11 @@ def _cell_links(distance: int):
     return run
 
 
+def grid_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): links within the distance among distinct fingerprints (fp), a spanning forest of each cell's."""
+    return cell_rows(nodes).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_cell_links(distance), "a long, b long")
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp): one row for each row of documents; a null text counts as empty."""
     return documents.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
@@ -191,8 +206,7 @@ def simhash_components(documents: DataFrame, distance: int = DISTANCE) -> DataFr
         raise ValueError("one of two halves is within 1 only up to distance 3")
     docs = cut(fingerprints(documents))
     nodes = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = cell_rows(nodes).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_cell_links(distance), "a long, b long")
-    reps = connected_components(edges)
+    reps = connected_components(grid_links(nodes, distance))
     linked = cut(nodes.join(reps, nodes.fp == reps.node, "left").select("fp", "first", F.coalesce("rep", "fp").alias("rep")))
     least = cut(linked.groupBy("rep").agg(F.min("first").alias("component_id")))
     named = cut(linked.join(least, "rep").select("fp", "component_id", "rep"))

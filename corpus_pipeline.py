@@ -28,6 +28,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by Jaccard similarities of 0.8 or more of their five-word shingles the one with the smallest id stays.
+    Candidates are fingerprints within 3 bits, by op2's grid range-join, and MinHash bands for the pairs these lose.
 
     Texts without a word, null ones too, are one group; rows that repeat id and text leave one; null ids come last and tell
     nothing apart; further columns stay, whatever their names; an empty table gives an empty one.

@@ -205,6 +205,32 @@ def test_near_copies(spark):
     assert sum((fps[i] ^ fps[j]).bit_count() <= 3 for i, j in near) < len(near) / 2
 
 
+def test_near_copies_meet_by_fingerprints(spark):
+    """The SimHash step of near copies against all pairs of five-word fingerprints."""
+    rng = random.Random(9)
+    texts = ["", " ", "one", "One"]
+    for _ in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(600)]
+        for k in range(5):
+            texts.append(" ".join(words[:300] + [f"v{k}"] * (k > 0) + words[300:]))
+    texts += [texts[5] + " " + texts[5], texts[5].upper()]
+    docs = nearcopies.sketches(frame(spark, *((i, t, "a") for i, t in enumerate(texts))))
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in enumerate(texts)}
+    assert {i: r["fp"] & (1 << 64) - 1 for i, r in rows.items()} == fps
+    want, got = simhash.Forest(), simhash.Forest()
+    for i in range(2, len(texts)):
+        for j in range(2, i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                want.join(i, j)
+    by_node = {}
+    for i in range(2, len(texts)):
+        got.join(by_node.setdefault(rows[i]["node"], i), i)
+    for r in nearcopies.simhash_pairs(docs).collect():
+        got.join(by_node[r["a"]], by_node[r["b"]])
+    assert [got.root(i) for i in range(2, len(texts))] == [want.root(i) for i in range(2, len(texts))] and len({want.root(i) for i in range(2, len(texts))}) < 20
+
+
 def test_near_copies_of_hard_rows(spark):
     got = nearcopies.near_survivors(hard(spark)).collect()
     assert sorted((r["doc_id"] or 0, len(r["text"] or "") > 99) for r in got) == [(0, False), (1, False), (3, False), (3, True), (4, False), (5, False)]
