@@ -72,15 +72,15 @@ def betweenness(starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 22, we
     return total / 2
 
 
-def brokerage(starts: np.ndarray, ends: np.ndarray, size: np.ndarray, squares: np.ndarray) -> np.ndarray:
+def brokerage(starts: np.ndarray, ends: np.ndarray, size: np.ndarray, squares: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
     """Betweenness of nodes that stand for size nodes each, themselves and trees hanging from them whose sizes have the squares'
-    sum; those of size 0 are folded into a neighbour.
+    sum; those of size 0 are folded into a neighbour. Where there are several components, whole has the size of each node's.
 
     Trees are taken off from the outside. A pair with an end in a node's trees passes it unless both ends are in one of them;
     other pairs meet it only on ways through the core that has no trees left.
     """
     tail, on = np.repeat(np.arange(len(size)), np.diff(starts)), size > 0
-    size, squares, n = size.astype(float), squares.astype(float), size.sum()
+    size, squares, n = size.astype(float), squares.astype(float), size.sum() if whole is None else whole
     while True:
         held = on[tail] & on[ends]
         tip = on & (np.bincount(tail[held], minlength=len(size)) == 1)
@@ -147,6 +147,25 @@ def _core(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": nodes["a"], "betweenness_raw": brokerage(starts, ends, nodes["size"].to_numpy(float), nodes["squares"].to_numpy(float))})
 
 
+def _cores(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(id, betweenness_raw, n) of several components at once; n is the size of the node's component."""
+    nodes = pdf[pdf["b"].isna()].reset_index(drop=True)
+    place = pd.Series(nodes.index, index=nodes["a"])
+    pairs = pdf[pdf["b"].notna()]
+    starts, ends = adjacency_rows(len(nodes), place[pairs["a"]].to_numpy(), place[pairs["b"]].to_numpy())
+    tail, part, size = np.repeat(np.arange(len(nodes)), np.diff(starts)), np.arange(len(nodes)), nodes["size"].to_numpy(float)
+    while True:
+        low = part.copy()
+        np.minimum.at(low, tail, part[ends])
+        low = low[low]
+        if (low == part).all():
+            break
+        part = low
+    whole = np.bincount(part, size, len(nodes))[part]
+    between = brokerage(starts, ends, size, nodes["squares"].to_numpy(float), whole)
+    return pd.DataFrame({"id": nodes["a"], "betweenness_raw": between, "n": whole.astype(np.int64)})
+
+
 def _gathered(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Nodes (rep, id, ...) and, with b, pairs (rep, a, b) as rows of one table."""
     return nodes.withColumnRenamed("id", "a").withColumn("b", F.lit(None).cast("string")).unionByName(pairs, allowMissingColumns=True)
@@ -385,6 +404,70 @@ def analyze(
     )
 
 
+def _by_trees(rows: DataFrame) -> DataFrame:
+    """(id, betweenness_raw, n) of nodes (id, size, squares, n) by the sizes of the trees that hang from them alone."""
+    square = lambda c: c * c
+    return rows.select("id", ((square(F.col("n") - 1) - F.col("squares") - square(F.col("n") - F.col("size"))) / 2).alias("betweenness_raw"), "n")
+
+
+def brokers(entities: DataFrame, pairs: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES, pivots: int | None = None, at_once: int = 1_024) -> DataFrame:
+    """(id, ord, betweenness) of entities (id, ord) over undirected pairs (a, b): the betweenness of analyze alone.
+
+    Without ranks and communities nothing needs the components first. Trees are taken off before, in PEELS rounds at most or until
+    what is left is few enough to gather at once; components are sought in that rest only. A tip from which nothing hangs lies on
+    no way between others, so that only those that bear some are kept to the end.
+    """
+    both = lambda e: e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    left, bear, off, none = cut(pairs.select("a", "b")), None, [], F.lit(0).cast("long")
+    m = left.count()
+    fits = lambda: 2 * m <= max_nodes and m <= max_edges
+    for _ in range(PEELS):
+        if fits():
+            break
+        met = cut(both(left).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("near"), F.min("b").alias("to")))
+        hubs, tips = met.where("near > 1").select(F.col("id").alias("to"), F.lit(True).alias("hub")), met.where("near = 1").select("id", "to")
+        # of two tips that face each other the smaller stays
+        goes = lambda rows: rows.join(hubs, "to", "left").where("hub OR id > to").drop("hub")  # noqa: E731, B023
+        size = F.lit(1).cast("long")
+        if bear is not None:
+            taken = cut(goes(tips.join(bear, "id")).select("id", "to", (F.col("held") + 1).alias("size"), "squares"))
+            off.append(taken)
+            tips, size = tips.join(bear.select("id", "held"), "id", "left"), F.coalesce("held", none) + 1
+        gain = goes(tips.groupBy("to").agg(F.min("id").alias("id"), F.sum(size).alias("held"), F.sum(size * size).alias("squares"))).select(F.col("to").alias("id"), "held", "squares")
+        old = [met, left]
+        if bear is not None:
+            old.append(bear)
+            gain = bear.join(taken.select("id"), "id", "left_anti").unionByName(gain).groupBy("id").agg(F.sum("held").alias("held"), F.sum("squares").alias("squares"))
+        bear = cut(gain)
+        left = cut(left.join(hubs.select(F.col("to").alias("a")), "a", "left_semi").join(hubs.select(F.col("to").alias("b")), "b", "left_semi").select("a", "b"))
+        before, m = m, left.count()
+        discard(*old)
+        if m == before:
+            break
+    ends = both(left).select(F.col("a").alias("id")).distinct()
+    if bear is None:
+        core = ends.select("id", F.lit(1).cast("long").alias("size"), none.alias("squares"))
+    else:
+        core = ends.join(bear, "id", "left").select("id", (F.coalesce("held", none) + 1).alias("size"), F.coalesce("squares", none).alias("squares"))
+    if fits():
+        one = F.lit(0).alias("rep")
+        known = _gathered(core.select(one, "*"), left.select(one, "*")).groupBy("rep").applyInPandas(_cores, "id string, betweenness_raw double, n long")
+    else:
+        rep = cut(connected_components(left))
+        core = cut(core.join(rep, F.col("id") == F.col("node")).select("rep", "id", "size", "squares"))
+        ways = cut(both(left).join(rep, F.col("a") == F.col("node")).select("rep", "a", "b"))
+        known = _between(core, ways, pivots, at_once, max_nodes, max_edges)
+        known = known.join(core.select("id", "rep"), "id").join(core.groupBy("rep").agg(F.sum("size").alias("n")), "rep").select("id", "betweenness_raw", "n")
+    if bear is not None:
+        # trees of which nothing is left but one node
+        known = known.unionByName(_by_trees(bear.join(ends, "id", "left_anti").select("id", (F.col("held") + 1).alias("size"), "squares", (F.col("held") + 1).alias("n"))))
+    known = cut(known)
+    for taken in reversed(off):
+        known = cut(known.unionByName(_by_trees(taken.join(known.select(F.col("id").alias("to"), "n"), "to"))))
+    top = known.agg(F.max("betweenness_raw")).first()[0]
+    return entities.select("id", "ord").join(known, "id", "left").select("id", "ord", (F.coalesce("betweenness_raw", F.lit(0.0)) / F.lit(top or 1.0)).alias("betweenness"))
+
+
 def top_broker(metrics: DataFrame) -> DataFrame:
     """The node with the greatest positive betweenness, of equals the first."""
     return metrics.where("betweenness > 0").orderBy(F.desc("betweenness"), "ord").limit(1)

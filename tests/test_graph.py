@@ -110,6 +110,37 @@ def test_trees_agree_with_whole_components(spark, max_nodes):
         assert [got[j]["community"] == got[i]["community"] for j in range(n)] == (label == label[i]).tolist()
 
 
+@pytest.mark.parametrize("max_nodes", [5_000, 40, 3])
+def test_brokers_agree_with_plain_betweenness(spark, max_nodes):
+    """Rings with trees, a path, a star, a pair and a node alone: gathered at once, gathered without trees, and by joins."""
+    ring = [(i, i + 4) for i in range(0, 20, 4)] + [(0, 20), (4, 16), (0, 12)]
+    trees = [(1, 0), (2, 0), (3, 0), (5, 4), (6, 5), (7, 5), (9, 8), (10, 9), (11, 9), (13, 12), (14, 12), (15, 16), (17, 15), (18, 15), (19, 20), (21, 20), (22, 20), (23, 20)]
+    rest = [(i, i + 1) for i in range(24, 32)] + [(33, i) for i in range(34, 39)] + [(39, 40), (42, 43), (43, 44), (42, 44), (44, 45), (45, 46)]
+    n = 47
+    turn = np.random.default_rng(5).permutation(n)  # names and turns differ
+    pairs = [(turn[a], turn[b]) for a, b in ring + trees + rest]
+    nodes = spark.createDataFrame([(str(99 - i), i) for i in range(n)], "id string, ord long")
+    df = spark.createDataFrame([(str(99 - a), str(99 - b)) for a, b in pairs], "a string, b string")
+    got = {99 - int(r["id"]): r["betweenness"] for r in network.brokers(nodes, df, max_nodes=max_nodes, at_once=8).collect()}
+    want = network.betweenness(*network.adjacency_rows(n, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])))
+    assert len(got) == n and all(abs(got[i] - want[i] / want.max()) < 1e-9 for i in range(n))
+    empty = network.brokers(nodes, df.limit(0))
+    assert empty.count() == n and network.top_broker(empty).count() == 0
+
+
+def test_top_broker_seeks_no_components_of_trees(spark, monkeypatch):
+    """The places are trees: the query takes their nodes off and needs neither components nor ranks of all nodes."""
+    from casegraph.plans import adapters, graph_queries
+
+    d = "/root/testdata/sf0.001"
+    nodes = sorted((r["ord"], r["id"]) for r in adapters.place_nodes(spark, d).collect())
+    place = {name: i for i, (_, name) in enumerate(nodes)}
+    pairs = [(place[r["a"]], place[r["b"]]) for r in adapters.place_pairs(spark, d).collect()]
+    between = network.betweenness(*network.adjacency_rows(len(nodes), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])))
+    monkeypatch.setattr(network, "connected_components", None)
+    assert [tuple(r) for r in graph_queries.q_top_broker(spark, d).collect()] == [(nodes[between.argmax()][1], 1.0)]
+
+
 def test_brokerage_equals_betweenness():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 12, 30):
